@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quadrille.functions.shared import table
-from quadrille.llm import distinct_runs, frequent
+from quadrille.llm import copies, distinct_runs, encode, frequent, pack
 
 SHARE = 0.005
 
@@ -22,7 +23,25 @@ def p6_distinct(spark: SparkSession, d: str) -> DataFrame:
     return distinct_runs.count_runs(distinct_runs.build_runs(table(spark, d, "temporal_quads")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p6_distinct)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    c = copies.copies(table(spark, d, "triple_feed"))
+    return c.where(F.col("keep_id") != F.col("rec_id")).select("keep_id", F.col("rec_id").alias("copy_id"))
+
+
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    c = copies.copies(table(spark, d, "triple_feed"))
+    return c.where(F.col("keep_id") == F.col("rec_id")).select("keep_id", "n")
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode(table(spark, d, "documents"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack.pack(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p5_found, p5_records, p6_distinct, p7_ids, p8_containers)}
 
 _HEAVY = f"""
 SELECT '{{c}}' AS field, {{c}} AS item, count(*) AS n FROM temporal_quads WHERE {{c}} IS NOT NULL
@@ -36,7 +55,18 @@ SELECT CASE grouping(t, p, src_file) WHEN 3 THEN 't' WHEN 5 THEN 'p' WHEN 6 THEN
 FROM temporal_quads WHERE {c} IS NOT NULL
 GROUP BY GROUPING SETS ((t), (p), (src_file), (t, p), (t, src_file), (p, src_file), (t, p, src_file))
 """
+_SAME = r"""
+SELECT rec_id, list_transform(['subject', 'predicate', 'object'], n -> lower(regexp_replace(
+         list_filter(fields, f -> f[1] = n)[1][2], '[^\p{L}\p{Nd}]', '', 'g'))) AS c
+FROM (SELECT rec_id, CASE WHEN ltrim(record) LIKE '{%'
+        THEN list_transform(json_keys(record), k -> [lower(trim(k)), json_extract_string(record, '$."' || k || '"')])
+        ELSE list_transform(string_split(record, '|'), f -> [lower(trim(string_split(f, '=')[1])), string_split(f, '=')[2]]) END AS fields
+      FROM triple_feed WHERE record IS NOT NULL)
+"""
+_KEPT = f"SELECT rec_id, min(rec_id) OVER (PARTITION BY c) AS keep_id, count(*) OVER (PARTITION BY c) AS n FROM ({_SAME})"
 ORACLE_SQL = {
+    "p5_found": f"SELECT keep_id, rec_id AS copy_id FROM ({_KEPT}) WHERE rec_id <> keep_id",
+    "p5_records": f"SELECT keep_id, n FROM ({_KEPT}) WHERE rec_id = keep_id",
     "p2_found": f"SELECT field, item FROM ({_BOTH})",
     "p2_counts": _BOTH,
     "p6_distinct": "SELECT *, CAST(n_distinct AS DOUBLE) * (CAST(n_distinct AS DOUBLE) - 1) / 36893488147419103232.0::DOUBLE AS collision_bound FROM ("
