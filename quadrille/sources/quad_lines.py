@@ -3,10 +3,10 @@
 A good line is ``<s> <p> <o> <t> .`` or ``<s> <p> "literal" <t> .`` with an optional ``@lang`` or
 ``^^<type>`` directly behind the literal, terms parted by spaces or tabs.
 
-Method.  The lines of a task are parsed in blocks: one columnar regular-expression kernel and one
-columnar date cast handle a whole block and refuse it as a whole when any of its lines is faulty.
-A refused block is cut in halves again and again, so that good runs stay on the columnar path and
-the faulty lines end up alone; only those meet the strict scanner, which names the reason.  A block's
+Method.  The lines of a task are parsed in blocks: one pass of a compiled expression over the joined
+block yields its columns, or refuses the block as a whole when any of its lines is faulty.  A refused
+block is cut in halves again and again, so that good runs stay on this path and the faulty lines end
+up alone; only those meet the strict scanner, which names the reason.  A block's
 first size follows the share of faulty lines met so far in the same file (group testing), so a dirty
 file isn't parsed over and over and a clean one is parsed in large blocks.
 
@@ -36,7 +36,6 @@ LINE = (
     r"<(?P<t>[0-9]{4}-[0-9]{2}-[0-9]{2})>[ \t]*\.[ \t]*\r?$"
 )
 LARGEST, SMALLEST, ALONE = 4096, 8, 2
-FIRST_DAY = (dt.date(1, 1, 1) - dt.date(1970, 1, 1)).days
 
 #: Reasons, in the order in which the strict scanner meets them.
 REASONS = (
@@ -48,23 +47,37 @@ REASONS = (
 )
 
 
+#: The same within a block of lines joined by line feeds, each of which then gives one match at most.
+_BLOCK = re.compile(LINE.replace("(?s)", "(?m)").replace(r'[^"\\]|\\.', r'[^"\\\n]|\\[^\n]').replace("?P<", "?P<_"))
+
+
 class BlockRefused(ValueError):
-    """A block holds at least one line that the columnar path can't take."""
+    """A block holds at least one line that isn't a quad."""
 
 
-def parse_block(lines: pa.Array) -> list[pa.Array]:
-    """Columns s, p, o, t of a block in which every line is good; refuses the block otherwise."""
-    m = pc.extract_regex(lines, LINE)
-    if m.null_count:
-        raise BlockRefused
-    s, p, iri, lit, t = m.flatten()
-    try:
-        day = pc.cast(t, pa.date32())
-    except pa.ArrowInvalid:
-        raise BlockRefused from None
-    if len(day) and pc.min(pc.cast(day, pa.int32())).as_py() < FIRST_DAY:
+class _Days(dict):
+    """Whether a text is an existing day; each text is looked at once."""
+
+    def __missing__(self, text: str) -> bool:
+        try:
+            dt.date.fromisoformat(text)
+            ok = True
+        except ValueError:
+            ok = False
+        if len(self) < 1 << 16:
+            self[text] = ok
+        return ok
+
+
+_DAYS = _Days()
+
+
+def parse_block(lines: Sequence[str]) -> list[tuple[str, ...]]:
+    """(s, p, iri, literal, t) of every line of a block, in one pass over the block; refuses it if any line is faulty."""
+    got = _BLOCK.findall("\n".join(lines))
+    if len(got) != len(lines) or not all([_DAYS[x[4]] for x in got]):
         raise BlockRefused
-    return [s, p, pc.if_else(pc.not_equal(iri, ""), iri, unescape(lit)), day]
+    return got
 
 
 def unescape(literals: pa.Array) -> pa.Array:
@@ -142,21 +155,21 @@ def diagnose(line: str) -> str | None:
     return "text after the dot" if blanks(at + 1) < end else None
 
 
-def _pieces(lines: pa.Array, size: int, found: list[tuple[int, int, list[pa.Array] | None]]) -> int:
-    """Appends (from, to, columns or None) for the pieces of ``lines``, which are first cut into ``size``. Returns the faulty lines."""
-    bad = 0
+def _sort_out(lines: list[str], size: int) -> tuple[list[int], list[tuple[str, ...]], list[int]]:
+    """Positions and parts of the good lines, positions of the others. Blocks have ``size`` lines at first."""
+    good, parts, bad = [], [], []
     todo = [(a, min(a + size, len(lines))) for a in range(0, len(lines), size)][::-1]
     while todo:
         a, b = todo.pop()
         try:
-            found.append((a, b, parse_block(lines.slice(a, b - a))))
+            parts += parse_block(lines[a:b])
+            good += range(a, b)
         except BlockRefused:
             if b - a < ALONE:
-                found.append((a, b, None))
-                bad += 1
+                bad.append(a)
             else:
                 todo += [((a + b) // 2, b), (a, (a + b) // 2)]
-    return bad
+    return good, parts, bad
 
 
 def _parser(line: str, file: str | None, keep: Sequence[str], schema: pa.Schema):
@@ -178,26 +191,38 @@ def _parser(line: str, file: str | None, keep: Sequence[str], schema: pa.Schema)
                 cuts = [0, *np.flatnonzero(np.diff(code)) + 1, len(rows)]
             else:
                 files, code, cuts = [""], np.zeros(len(rows), int), [0, len(rows)]
+            texts = lines.take(pa.array(rows)).to_pylist()
+            good, parts, bad, why = [], [], [], []
             for a, b in zip(cuts, cuts[1:]):
-                bad, total = seen.get(files[code[a]], (0, 0))
-                rate = (bad + 0.5) / (total + 64)
-                size = int(min(LARGEST, max(SMALLEST, 1 / rate)))
-                mine = rows[a:b]
-                block, found = lines.take(pa.array(mine)), []
-                faulty = _pieces(block, size, found)
-                seen[files[code[a]]] = (bad + faulty, total + len(mine))
-                for good in (True, False):
-                    parts = [x for x in found if (x[2] is not None) == good]
-                    if not parts:
-                        continue
-                    idx = np.concatenate([mine[x:y] for x, y, _ in parts])
-                    if good:
-                        made = [pa.concat_arrays([c[k] for *_, c in parts]) for k in range(4)] + [pa.nulls(len(idx), pa.string())]
+                faults, total = seen.get(files[code[a]], (0, 0))
+                size = int(min(LARGEST, max(SMALLEST, (total + 64) / (faults + 0.5))))
+                block = texts[a:b]
+                odd = [i for i, x in enumerate(block) if "\n" in x]  # would take two places in a block
+                if odd:
+                    block = ["" if "\n" in x else x for x in block]
+                g, p, f = _sort_out(block, size)
+                seen[files[code[a]]] = (faults + len(f) - len(odd), total + len(block))
+                good += [a + i for i in g]
+                parts += p
+                for i in f:
+                    m = re.fullmatch(LINE, texts[a + i]) if i in odd else None
+                    if m and _DAYS[m["t"]]:
+                        good.append(a + i)
+                        parts.append(m.groups())
                     else:
-                        why = [diagnose(block[x].as_py()) or "not a quad" for x, _, _ in parts]
-                        made = [pa.nulls(len(idx), f) for f in (pa.string(), pa.string(), pa.string(), pa.date32())] + [pa.array(why, pa.string())]
-                    kept = batch.select(keep).take(pa.array(idx)).columns if keep else []
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*kept, *made], schema)], schema=schema)
+                        bad.append(a + i)
+                        why.append(diagnose(texts[a + i]) or "not a quad")
+            if good:
+                s, p, iri, lit, t = (pa.array(x, pa.string()) for x in zip(*parts))
+                iri = pc.fill_null(iri, "")
+                o = pc.if_else(pc.not_equal(iri, ""), iri, unescape(pc.fill_null(lit, "")))
+                yield made(batch, rows[good], [s, p, o, t.cast(pa.date32()), pa.nulls(len(good), pa.string())])
+            if bad:
+                yield made(batch, rows[bad], [*(pa.nulls(len(bad), x) for x in (pa.string(), pa.string(), pa.string(), pa.date32())), pa.array(why, pa.string())])
+
+    def made(batch: pa.RecordBatch, idx: np.ndarray, cols: list[pa.Array]) -> pa.RecordBatch:
+        kept = batch.select(keep).take(pa.array(idx)).columns if keep else []
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*kept, *cols], schema)], schema=schema)
 
     return run
 
