@@ -56,11 +56,11 @@ FROM temporal_quads WHERE {c} IS NOT NULL
 GROUP BY GROUPING SETS ((t), (p), (src_file), (t, p), (t, src_file), (p, src_file), (t, p, src_file))
 """
 _SAME = r"""
-SELECT rec_id, list_transform(['subject', 'predicate', 'object'], n -> lower(regexp_replace(
-         list_filter(fields, f -> f[1] = n)[1][2], '[^\p{L}\p{Nd}]', '', 'g'))) AS c
+SELECT rec_id, list_transform(['subject', 'predicate', 'object'], lambda n: lower(regexp_replace(
+         list_filter(fields, lambda f: f[1] = n)[1][2], '[^\p{L}\p{Nd}]', '', 'g'))) AS c
 FROM (SELECT rec_id, CASE WHEN ltrim(record) LIKE '{%'
-        THEN list_transform(json_keys(record), k -> [lower(trim(k)), json_extract_string(record, '$."' || k || '"')])
-        ELSE list_transform(string_split(record, '|'), f -> [lower(trim(string_split(f, '=')[1])), string_split(f, '=')[2]]) END AS fields
+        THEN list_transform(json_keys(record), lambda k: [lower(trim(k)), json_extract_string(record, '$."' || k || '"')])
+        ELSE list_transform(string_split(record, '|'), lambda f: [lower(trim(string_split(f, '=')[1])), string_split(f, '=')[2]]) END AS fields
       FROM triple_feed WHERE record IS NOT NULL)
 """
 _KEPT = f"SELECT rec_id, min(rec_id) OVER (PARTITION BY c) AS keep_id, count(*) OVER (PARTITION BY c) AS n FROM ({_SAME})"
