@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions.shared import table
-from quadrille.llm import copies, distinct_runs, encode, frequent, pack
+from quadrille.llm import copies, distinct_runs, encode, frequent, pack, truncated
 
 SHARE = 0.005
 
@@ -41,7 +41,19 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p5_found, p5_records, p6_distinct, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated.judged(table(spark, d, "documents")).where("cut").select("doc_id")
+
+
+def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return truncated.by_source(truncated.judged(table(spark, d, "documents")))
+
+
+def p9_spikes(spark: SparkSession, d: str) -> DataFrame:
+    return truncated.spikes(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p5_found, p5_records, p6_distinct, p7_ids, p8_containers, p9_found, p9_by_source, p9_spikes)}
 
 _HEAVY = f"""
 SELECT '{{c}}' AS field, {{c}} AS item, count(*) AS n FROM temporal_quads WHERE {{c}} IS NOT NULL
@@ -64,7 +76,18 @@ FROM (SELECT rec_id, CASE WHEN ltrim(record) LIKE '{%'
       FROM triple_feed WHERE record IS NOT NULL)
 """
 _KEPT = f"SELECT rec_id, min(rec_id) OVER (PARTITION BY c) AS keep_id, count(*) OVER (PARTITION BY c) AS n FROM ({_SAME})"
+_LENGTHS = """
+SELECT source, 'chars' AS measure, CAST(length(text) AS INTEGER) AS length, count(*) AS n FROM documents WHERE length(text) > 0 GROUP BY ALL
+UNION ALL SELECT source, 'bytes', CAST(strlen(text) AS INTEGER), count(*) FROM documents WHERE length(text) > 0 GROUP BY ALL
+"""
+_AROUND, _NEAR = truncated.AROUND, truncated.NEAR
 ORACLE_SQL = {
+    "p9_spikes": f"""
+        SELECT source, measure, length, n FROM (SELECT *, greatest(
+            coalesce(sum(n) OVER (w RANGE BETWEEN {_AROUND} PRECEDING AND {_NEAR + 1} PRECEDING), 0),
+            coalesce(sum(n) OVER (w RANGE BETWEEN {_NEAR + 1} FOLLOWING AND {_AROUND} FOLLOWING), 0)) / {_AROUND - _NEAR} AS usual
+          FROM ({_LENGTHS}) WINDOW w AS (PARTITION BY source, measure ORDER BY length))
+        WHERE n >= {truncated.FEWEST} AND n >= {truncated.EXCESS} * usual AND length > {_AROUND}""",
     "p5_found": f"SELECT keep_id, rec_id AS copy_id FROM ({_KEPT}) WHERE rec_id <> keep_id",
     "p5_records": f"SELECT keep_id, n FROM ({_KEPT}) WHERE rec_id = keep_id",
     "p2_found": f"SELECT field, item FROM ({_BOTH})",
