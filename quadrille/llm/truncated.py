@@ -42,7 +42,7 @@ _CLOSE = r"[\"”»“’'\)\]）」』›]"
 _STOP = re.compile(rf"(?:[。！？]{_CLOSE}*|[.!?…]+\s?{_CLOSE}*(?=\s|$))")
 _ENDS = re.compile(rf"[.!?…。！？]\s?{_CLOSE}*$")
 _MARKS = re.compile(r"(?:\s*(?:\.{3,}|…+|[\[(<]\s*(?:\.{3,}|…+)\s*[\])>]|�|[\[(<{]))+$")
-_TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W\d_぀-ヿ㐀-鿿]+|\d+|[^\w\s]|_+")
+_TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|(?:[^\W\d_぀-ヿ㐀-鿿]|�)+|\d+|[^\w\s]|_+")
 _WIDE = {bytes([b]).decode("cp1252"): b for b in range(128, 160) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
@@ -75,6 +75,7 @@ def plain(line: str) -> str:
 
 
 def shape(token: str) -> str:
+    token = token.strip("\ufffd") or "a"
     if token[0].isdigit():
         return "0"
     if not token[0].isalpha():
