@@ -32,28 +32,30 @@ OVERHEAD = 64  # bytes a record takes besides its text
 FIELDS = ("subject", "predicate", "object")
 
 
-def canonical(record: Column) -> Column:
-    """Canonical bytes of records (JSON objects or ``name=value`` fields parted by ``|``); null for null.
+def canonical(df: DataFrame, key: str, record: str) -> DataFrame:
+    """``<key>, c``: canonical bytes of records (JSON objects or ``name=value`` fields parted by ``|``); null for null.
 
     A record that is neither, or lacks one of the three names, has its own letters and digits behind a
     mark, so it equals only records spelt alike. Of a name given twice the first counts.
     """
-    is_json = F.ltrim(record).startswith("{")
-    parsed = F.transform(F.map_entries(F.from_json(record, "map<string,string>")), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("k"), e["value"].alias("v")))
-    pairs = F.transform(F.split(record, r"\|"), lambda x: F.struct(F.lower(F.regexp_replace(F.substring_index(x, "=", 1), r"^\s+|\s+$", "")).alias("k"), F.substr(x, F.instr(x, "=") + 1).alias("v")))
-    fields = F.when(is_json, parsed).otherwise(pairs)
-
-    def value(name: str) -> Column:
-        return F.get(F.filter(fields, lambda e: e["k"] == name), F.lit(0))["v"]
-
-    whole = F.concat_ws("\x1f", *[F.coalesce(bare(value(n)), F.lit("")) for n in FIELDS])
-    complete = F.forall(F.array(*[F.lit(n) for n in FIELDS]), lambda n: F.coalesce(F.exists(fields, lambda e: e["k"] == n), F.lit(False)))
-    return F.when(record.isNotNull(), F.encode(F.when(complete, whole).otherwise(F.concat(F.lit("\x1e"), bare(record))), "UTF-8"))
+    r = F.col("r")
+    entries = F.map_entries(F.from_json(r, "map<string,string>"))
+    pairs = F.transform(F.split(r, r"\|"), lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.substr(x, F.instr(x, "=") + 1).alias("value")))
+    # each step is a projection of its own, so that nothing is computed twice
+    d = df.select(F.col(key).cast("long").alias(key), F.col(record).alias("r"))
+    d = d.select(key, "r", F.when(F.ltrim(r).startswith("{"), entries).otherwise(pairs).alias("f"))
+    d = d.select(key, "r", "f", F.transform("f", lambda e: F.lower(F.trim(e["key"], F.lit(" \t\r\n\xa0")))).alias("k"))
+    at = [F.array_position("k", n) for n in FIELDS]
+    d = d.select(key, "r", "f", *[F.coalesce(p, F.lit(0)).cast("int").alias(f"i{j}") for j, p in enumerate(at)])
+    whole = F.concat_ws("\x1f", *[F.translate(F.coalesce(F.get("f", F.col(f"i{j}") - 1)["value"], F.lit("")), "\x1f", "") for j in range(3)])
+    complete = (F.col("i0") > 0) & (F.col("i1") > 0) & (F.col("i2") > 0)
+    c = F.when(complete, bare(whole)).otherwise(F.concat(F.lit("\x1e"), bare(F.translate(r, "\x1f", ""))))
+    return d.select(key, F.when(r.isNotNull(), F.encode(c, "UTF-8")).alias("c"))
 
 
 def bare(text: Column) -> Column:
-    """Letters and digits, whatever their case."""
-    return F.lower(F.upper(F.regexp_replace(text, r"[^\p{L}\p{Nd}]+", "")))
+    """Letters, digits and separators, whatever their case."""
+    return F.lower(F.upper(F.regexp_replace(text, r"[^\p{L}\p{Nd}\x1f]+", "")))
 
 
 def bucket_of(c: bytes, tree: dict[bytes, int]) -> bytes:
@@ -195,7 +197,7 @@ def copies(df: DataFrame, *, key: str = "rec_id", record: str = "record", bucket
     * rows with equal keys count each; very long records count by their bytes when buckets are cut;
     * an empty table gives no rows; only the two columns are read.
     """
-    canon = df.select(F.col(key).cast("long").alias(key), canonical(F.col(record)).alias("c")).where(F.col("c").isNotNull() & F.col(key).isNotNull())
+    canon = canonical(df.where(F.col(key).isNotNull() & F.col(record).isNotNull()), key, record)
     canon = written(canon, "canonical")
     tree, hot = splits(canon, key, bucket_bytes)
     out = f"`{key}` long, keep_id long, n long"
