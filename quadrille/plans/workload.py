@@ -86,7 +86,7 @@ _scan("scan_o_by_sp", f"<{STUDENT}> ub:takesCourse ?o", "?o", f"s = '{STUDENT}'
 _scan("scan_s_by_po", "?s rdf:type ub:GraduateStudent", "?s", "p = 'rdf:type' AND o = 'ub:GraduateStudent'", "s")
 _scan("scan_so_by_p", "?s ub:memberOf ?o", "?s ?o", "p = 'ub:memberOf'", "s, o")
 _scan("scan_os_by_p", "?s ub:hasMember ?o", "?o ?s", "p = 'ub:hasMember'", "s, o")
-_scan("scan_p_by_so", f"<{STUDENT}> ?p <http://univ1.example/dept8>", "?p", f"s = '{STUDENT}' AND o = 'http://univ1.example/dept8'", "p")
+_scan("scan_p_by_so", f"<{STUDENT}> ?p <http://univ2.example/dept12>", "?p", f"s = '{STUDENT}' AND o = 'http://univ2.example/dept12'", "p")
 _scan("scan_s_by_p", "?s ub:advisor ?o", "?s", "p = 'ub:advisor'", "s")
 _scan("scan_o_by_p", "?s ub:advisor ?o", "?o", "p = 'ub:advisor'", "o")
 _scan("scan_p_by_s", f"<{STUDENT}> ?p ?o", "?p", f"s = '{STUDENT}'", "p")
@@ -243,12 +243,12 @@ def pair(name: str, query: str, on: str, where: str, shown: str) -> None:
 
 
 pair("bgp_join_ss", "SELECT ?x ?a ?b WHERE { ?x ub:name ?a . ?x ub:emailAddress ?b .WHEN }", "a.s = b.s", "a.p = 'ub:name' AND b.p = 'ub:emailAddress'", "a.s AS x, a.o AS a, b.o AS b")
-pair("bgp_join_oo", "SELECT ?x ?y ?z WHERE { ?x ub:teacherOf ?z . ?y ub:publicationAuthor ?z .WHEN }", "a.o = b.o", "a.p = 'ub:teacherOf' AND b.p = 'ub:publicationAuthor'", "a.s AS x, b.s AS y, a.o AS z")
+pair("bgp_join_oo", "SELECT ?x ?y ?z WHERE { ?x ub:teacherOf ?z . ?y ub:takesCourse ?z .WHEN }", "a.o = b.o", "a.p = 'ub:teacherOf' AND b.p = 'ub:takesCourse'", "a.s AS x, b.s AS y, a.o AS z")
 pair("bgp_join_so", "SELECT ?x ?y ?z WHERE { ?x ub:advisor ?y . ?y ub:teacherOf ?z .WHEN }", "a.o = b.s", "a.p = 'ub:advisor' AND b.p = 'ub:teacherOf'", "a.s AS x, a.o AS y, b.o AS z")
 pair("bgp_join_pp", f"SELECT ?p ?o WHERE {{ <{STUDENT}> ?p ?a . <http://univ1.example/dept3/student0> ?p ?o .WHEN }}", "a.p = b.p", f"a.s = '{STUDENT}' AND b.s = 'http://univ1.example/dept3/student0'", "a.p AS p, b.o AS o")
 pair("bgp_join_sp", f"SELECT ?p ?c WHERE {{ ?p rdf:type ?c . <{STUDENT}> ?p ?o .WHEN }}", "a.s = b.p", f"a.p = 'rdf:type' AND b.s = '{STUDENT}'", "a.s AS p, a.o AS c")
 pair("bgp_join_op", f"SELECT ?p ?x WHERE {{ ?x rdf:type ?p . <{STUDENT}> ?p ?o .WHEN }}", "a.o = b.p", f"a.p = 'rdf:type' AND b.s = '{STUDENT}'", "a.o AS p, a.s AS x")
-pair("bgp_two_key_close", "SELECT ?x ?y WHERE { ?x ub:advisor ?y . ?y ub:publicationAuthor ?z . ?x ub:advisor ?y .WHEN }", "a.o = b.s", "a.p = 'ub:advisor' AND b.p = 'ub:publicationAuthor'", "a.s AS x, a.o AS y")
+pair("bgp_two_key_close", "SELECT ?x ?y WHERE { ?x ub:advisor ?y . ?y ub:teacherOf ?z . ?x ub:advisor ?y .WHEN }", "a.o = b.s", "a.p = 'ub:advisor' AND b.p = 'ub:teacherOf'", "a.s AS x, a.o AS y")
 pair("bgp_cross", "SELECT ?x ?y WHERE { ?x rdf:type ub:University . ?y rdf:type ub:ResearchGroup .WHEN }", "true", "a.p = 'rdf:type' AND a.o = 'ub:University' AND b.p = 'rdf:type' AND b.o = 'ub:ResearchGroup'", "a.s AS x, b.s AS y")
 
 
@@ -285,6 +285,22 @@ graph(
     "SELECT DISTINCT 'order/' || o_orderkey AS x, 'customer/' || c_custkey AS y FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 3 AND CAST(o_orderdate AS DATE) <= DATE '1998-01-01'",
     mapped("placedBy", "inNation"),
 )
+#: The seven shapes over tables: (patterns, SQL of the joined tables).
+_O, _S = "CAST(o_orderdate AS DATE) <= DATE '{0}'", "CAST(l_shipdate AS DATE) <= DATE '{0}'"
+MAPPED = {
+    "shape1_star_semijoin": ("SELECT ?x WHERE {{ ?x a <Supplier> . ?x <inNation> <nation/3> .{0} }}", "SELECT 'supplier/' || s_suppkey AS x FROM supplier WHERE s_nationkey = 3", (RDF_TYPE, "inNation")),
+    "shape2_star_two_attributes": ("SELECT ?x ?y1 ?y2 WHERE {{ ?x a <Customer> . ?x <inNation> <nation/5> . ?x <name> ?y1 . ?x <segment> ?y2 .{0} }}", "SELECT 'customer/' || c_custkey AS x, c_name AS y1, c_mktsegment AS y2 FROM customer WHERE c_nationkey = 5", (RDF_TYPE, "inNation", "name", "segment")),
+    "shape3_triangle_types": ("SELECT ?x ?y ?z WHERE {{ ?x a <Order> . ?y a <Supplier> . ?z a <Part> . ?x <hasPart> ?z . ?z <soldBy> ?y . ?x <suppliedBy> ?y .{0} }}", f"""WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE {_S})
+        SELECT DISTINCT 'order/' || o_orderkey AS x, 'supplier/' || c.l_suppkey AS y, 'part/' || a.l_partkey AS z FROM orders JOIN l a ON a.l_orderkey = o_orderkey JOIN l b ON b.l_partkey = a.l_partkey JOIN l c ON c.l_orderkey = o_orderkey AND c.l_suppkey = b.l_suppkey WHERE {_O}""", (RDF_TYPE, "hasPart", "soldBy", "suppliedBy")),
+    "shape4_star_three_attributes": ("SELECT ?x ?y1 ?y2 ?y3 WHERE {{ ?x a <Order> . ?x <status> \"F\" . ?x <priority> ?y1 . ?x <placedBy> ?y2 . ?x <suppliedBy> ?y3 .{0} }}", f"SELECT DISTINCT 'order/' || o_orderkey AS x, o_orderpriority AS y1, 'customer/' || o_custkey AS y2, 'supplier/' || l_suppkey AS y3 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND {_O} AND {_S}", (RDF_TYPE, "status", "priority", "placedBy", "suppliedBy")),
+    "shape5_triangle_reordered": ("SELECT ?x ?y ?z WHERE {{ ?x <suppliedBy> ?y . ?z <soldBy> ?y . ?x <hasPart> ?z . ?x <status> \"O\" .{0} }}", f"""WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE {_S})
+        SELECT DISTINCT 'order/' || o_orderkey AS x, 'supplier/' || c.l_suppkey AS y, 'part/' || a.l_partkey AS z FROM orders JOIN l a ON a.l_orderkey = o_orderkey JOIN l b ON b.l_partkey = a.l_partkey JOIN l c ON c.l_orderkey = o_orderkey AND c.l_suppkey = b.l_suppkey WHERE o_orderstatus = 'O' AND {_O}""", ("suppliedBy", "soldBy", "hasPart", "status")),
+    "shape6_triangle_same_nation": ("SELECT ?x ?y ?z ?n WHERE {{ ?x <placedBy> ?y . ?x <suppliedBy> ?z . ?y <inNation> ?n . ?z <inNation> ?n . ?n <inRegion> <region/2> .{0} }}", f"""SELECT DISTINCT 'order/' || o_orderkey AS x, 'customer/' || c_custkey AS y, 'supplier/' || s_suppkey AS z, 'nation/' || n_nationkey AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey
+        JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 2 AND {_O} AND {_S}""", ("placedBy", "suppliedBy", "inNation", "inRegion")),
+    "shape7_chain_const_end": ("SELECT ?x ?y WHERE {{ ?x <placedBy> ?y . ?x a <Order> . ?y <inNation> <nation/7> . ?y a <Customer> .{0} }}", f"SELECT DISTINCT 'order/' || o_orderkey AS x, 'customer/' || c_custkey AS y FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 7 AND {_O}", ("placedBy", RDF_TYPE, "inNation")),
+}
+for _name, (_q, _sql, _preds) in MAPPED.items():
+    graph(_name, _q.format(when("1999-06-10")), _sql.format("1999-06-10"), mapped(*_preds))
 graph("mapped_type", "SELECT ?x ?n WHERE { ?x a <Nation> ; <name> ?n . }", "SELECT 'nation/' || n_nationkey AS x, n_name AS n FROM nation", mapped(RDF_TYPE, "name"))
 graph(
     "mapped_duplicates",
@@ -304,8 +320,8 @@ graph(
 # projections, duplicates, limits
 
 _F = facts_sql()
-graph("select_star", f"SELECT * WHERE {{ ?x ub:worksFor ?d . ?d ub:subOrganizationOf ?u .{when(DAY)} }}", f"WITH f AS {_F} SELECT a.s AS x, a.o AS d, b.o AS u FROM f a JOIN f b ON a.o = b.s WHERE a.p = 'ub:worksFor' AND b.p = 'ub:subOrganizationOf'")
-graph("select_subset", f"SELECT ?u WHERE {{ ?x ub:worksFor ?d . ?d ub:subOrganizationOf ?u .{when(DAY)} }}", f"WITH f AS {_F} SELECT DISTINCT b.o AS u FROM f a JOIN f b ON a.o = b.s WHERE a.p = 'ub:worksFor' AND b.p = 'ub:subOrganizationOf'")
+graph("select_star", f"SELECT * WHERE {{ ?x ub:advisor ?d . ?d ub:teacherOf ?u .{when(DAY)} }}", f"WITH f AS {_F} SELECT a.s AS x, a.o AS d, b.o AS u FROM f a JOIN f b ON a.o = b.s WHERE a.p = 'ub:advisor' AND b.p = 'ub:teacherOf'")
+graph("select_subset", f"SELECT ?u WHERE {{ ?x ub:advisor ?d . ?d ub:teacherOf ?u .{when(DAY)} }}", f"WITH f AS {_F} SELECT DISTINCT b.o AS u FROM f a JOIN f b ON a.o = b.s WHERE a.p = 'ub:advisor' AND b.p = 'ub:teacherOf'")
 graph("mod_distinct", f"SELECT distinct ?d WHERE {{ ?x ub:worksFor ?d .{when(DAY)} }}", f"SELECT DISTINCT o AS d FROM {_F} WHERE p = 'ub:worksFor'")
 graph("mod_reduced", f"SELECT reduced ?d WHERE {{ ?x ub:memberOf ?d .{when(DAY)} }}", f"SELECT DISTINCT o AS d FROM {_F} WHERE p = 'ub:memberOf'")
 graph("mod_count", f"SELECT count ?d WHERE {{ ?x ub:memberOf ?d .{when(DAY)} }}", f"SELECT o AS d, count(*) AS n FROM {_F} WHERE p = 'ub:memberOf' GROUP BY o")
@@ -324,20 +340,20 @@ graph("filter_var_ne", f"SELECT ?x ?a ?b WHERE {{ ?x ub:worksFor ?a . ?x ub:work
 graph("filter_literal", f"SELECT ?x WHERE {{ ?x ub:telephone ?n . filter( ?n = \"n/a\" ) .{when(DAY)} }}", f"SELECT s AS x FROM {_F} WHERE p = 'ub:telephone' AND o = 'n/a'")
 graph(
     "filter_reaches",
-    f"SELECT ?x WHERE {{ ?x ub:subOrganizationOf ?d . filter( ?x reaches <{UNIV}> via ub:subOrganizationOf ) .{when(DAY)} }}",
-    f"WITH RECURSIVE f AS {_F}, r(node) AS (SELECT '{UNIV}' UNION SELECT f.s FROM f JOIN r ON f.o = r.node WHERE f.p = 'ub:subOrganizationOf') SELECT DISTINCT s AS x FROM f WHERE p = 'ub:subOrganizationOf' AND s IN (SELECT node FROM r)",
+    f"SELECT ?x WHERE {{ ?x ub:subOrganizationOf ?d . filter( ?x reaches <{DEPT}> via ub:subOrganizationOf ) .{when(DAY)} }}",
+    f"WITH RECURSIVE f AS {_F}, r(node) AS (SELECT '{DEPT}' UNION SELECT f.s FROM f JOIN r ON f.o = r.node WHERE f.p = 'ub:subOrganizationOf') SELECT DISTINCT s AS x FROM f WHERE p = 'ub:subOrganizationOf' AND s IN (SELECT node FROM r)",
 )
 
 # groups
 
 graph("union2", f"SELECT ?x WHERE {{ {{ ?x ub:worksFor <{DEPT}> }} UNION {{ ?x ub:memberOf <{DEPT}> }}{when(DAY)} }}", f"SELECT DISTINCT s AS x FROM {_F} WHERE p IN ('ub:worksFor', 'ub:memberOf') AND o = '{DEPT}'")
 graph("union3", f"SELECT ?x ?y WHERE {{ {{ ?x ub:advisor ?y }} UNION {{ ?x ub:teacherOf ?y }} UNION {{ ?y ub:worksFor ?x }}{when(DAY)} }}", f"WITH f AS {_F} SELECT s AS x, o AS y FROM f WHERE p IN ('ub:advisor', 'ub:teacherOf') UNION SELECT o, s FROM f WHERE p = 'ub:worksFor'")
-graph("union_joined", f"SELECT ?x ?c WHERE {{ ?x rdf:type ?c . {{ ?x ub:worksFor <{DEPT}> }} UNION {{ ?x ub:memberOf <{DEPT}> }}{when(DAY)} }}", f"WITH f AS {_F} SELECT DISTINCT a.s AS x, a.o AS c FROM f a JOIN f b ON a.s = b.s WHERE a.p = 'rdf:type' AND b.p IN ('ub:worksFor', 'ub:memberOf') AND b.o = '{DEPT}'")
+graph("union_joined", f"SELECT ?x ?c WHERE {{ ?x ub:teacherOf ?c . {{ ?x ub:worksFor <{DEPT}> }} UNION {{ ?x ub:memberOf <{DEPT}> }}{when(DAY)} }}", f"WITH f AS {_F} SELECT DISTINCT a.s AS x, a.o AS c FROM f a JOIN f b ON a.s = b.s WHERE a.p = 'ub:teacherOf' AND b.p IN ('ub:worksFor', 'ub:memberOf') AND b.o = '{DEPT}'")
 graph("union_partial", f"SELECT ?x ?y ?z WHERE {{ {{ ?x ub:advisor ?y }} UNION {{ ?x ub:worksFor ?z }}{when(DAY)} }}", f"WITH f AS {_F} SELECT s AS x, o AS y, CAST(NULL AS VARCHAR) AS z FROM f WHERE p = 'ub:advisor' UNION ALL SELECT s, NULL, o FROM f WHERE p = 'ub:worksFor'")
-graph("nested_group", f"SELECT ?x ?d WHERE {{ ?x rdf:type ub:FullProfessor . {{ ?x ub:worksFor ?d . {{ ?d ub:subOrganizationOf <{UNIV}> .{when(DAY)} }} }} }}", f"WITH f AS {_F} SELECT DISTINCT a.s AS x, b.o AS d FROM f a JOIN f b ON a.s = b.s JOIN f c ON b.o = c.s WHERE a.p = 'rdf:type' AND a.o = 'ub:FullProfessor' AND b.p = 'ub:worksFor' AND c.p = 'ub:subOrganizationOf' AND c.o = '{UNIV}'")
+graph("nested_group", f"SELECT ?x ?d ?c WHERE {{ ?x ub:advisor ?d . {{ ?d ub:worksFor ?w . {{ ?d ub:teacherOf ?c .{when(DAY)} }} }} }}", f"WITH f AS {_F} SELECT DISTINCT a.s AS x, a.o AS d, c.o AS c FROM f a JOIN f b ON a.o = b.s JOIN f c ON a.o = c.s WHERE a.p = 'ub:advisor' AND b.p = 'ub:worksFor' AND c.p = 'ub:teacherOf'")
 graph("optional_left", f"SELECT ?x ?d ?c WHERE {{ ?x ub:worksFor ?d . OPTIONAL {{ ?x ub:teacherOf ?c }}{when(DAY)} }}", f"WITH f AS {_F} SELECT a.s AS x, a.o AS d, b.o AS c FROM (SELECT * FROM f WHERE p = 'ub:worksFor') a LEFT JOIN (SELECT * FROM f WHERE p = 'ub:teacherOf') b ON a.s = b.s")
 graph("lists_semicolon_comma", f"SELECT ?x ?a ?b WHERE {{ ?x ub:teacherOf ?a , ?b ; ub:worksFor <{DEPT}> .{when(DAY)} }}", f"WITH f AS {_F} SELECT a.s AS x, a.o AS a, b.o AS b FROM f a JOIN f b ON a.s = b.s JOIN f c ON a.s = c.s WHERE a.p = 'ub:teacherOf' AND b.p = 'ub:teacherOf' AND c.p = 'ub:worksFor' AND c.o = '{DEPT}'")
-graph("blank_nodes", f"SELECT ?d WHERE {{ [ ub:worksFor ?d ; ub:teacherOf [] ] rdf:type ub:FullProfessor .{when(DAY)} }}", f"WITH f AS {_F} SELECT DISTINCT a.o AS d FROM f a JOIN f b ON a.s = b.s JOIN f c ON a.s = c.s WHERE a.p = 'ub:worksFor' AND b.p = 'ub:teacherOf' AND c.p = 'rdf:type' AND c.o = 'ub:FullProfessor'")
+graph("blank_nodes", f"SELECT ?d WHERE {{ [ ub:worksFor ?d ; ub:teacherOf [] ] ub:teacherOf _:c .{when(DAY)} }}", f"WITH f AS {_F} SELECT DISTINCT a.o AS d FROM f a JOIN f b ON a.s = b.s WHERE a.p = 'ub:worksFor' AND b.p = 'ub:teacherOf'")
 graph("unknown_constant_empty", f"SELECT ?x ?y WHERE {{ ?x ub:worksFor <nowhere> . ?x ub:teacherOf ?y .{when(DAY)} }}", f"WITH f AS {_F} SELECT a.s AS x, b.o AS y FROM f a JOIN f b ON a.s = b.s WHERE a.p = 'ub:worksFor' AND a.o = 'nowhere' AND b.p = 'ub:teacherOf'")
 
 # updates on the changing store; the facts that hold afterwards
