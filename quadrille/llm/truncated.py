@@ -39,8 +39,8 @@ ANYWHERE, MARKED, AT_SPIKE = 1.5, -1.0, -2.0
 
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\xa0            ​    ⁠　﻿"
 _CLOSE = r"[\"”»“’'\)\]）」』›]"
-_STOP = re.compile(rf"(?:[。！？]{_CLOSE}*|[.!?…]+\s?{_CLOSE}*(?=\s|$))")
-_ENDS = re.compile(rf"[.!?…。！？]\s?{_CLOSE}*$")
+_STOP = re.compile(rf"(?:[。！？]{_CLOSE}*|[.!?…]+(?:{_CLOSE}|\s[»)])*(?=\s|$))")
+_ENDS = re.compile(rf"[.!?…。！？](?:{_CLOSE}|\s[»)])*$")
 _MARKS = re.compile(r"(?:\s*(?:\.{3,}|…+|[\[(<]\s*(?:\.{3,}|…+)\s*[\])>]|�|[\[(<{]))+$")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|(?:[^\W\d_぀-ヿ㐀-鿿]|�)+|\d+|[^\w\s]|_+")
 _WIDE = {bytes([b]).decode("cp1252"): b for b in range(128, 160) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
@@ -59,7 +59,8 @@ def repaired(line: str) -> str:
             b = 0xFF
         raw.append(b)
     text = raw.decode("utf-8", "replace")
-    return text if text.count("�") <= 2 + len(text) // 3 else line
+    lost, right = text.count("�") - 2 * line.count("�"), sum(c > "\x7f" and c != "�" for c in text)
+    return text if lost <= 1 and right > 0 else line  # one may be cut at the end
 
 
 _C1 = {b: bytes([b]).decode("cp1252", "ignore") or " " for b in range(128, 160)}
