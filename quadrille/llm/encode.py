@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.functions.shared import shared_dir
+from quadrille.functions.shared import shared_dir, written
 from quadrille.llm import lexicon as lex
 
 VOCABULARY = os.environ.get("QUADRILLE_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
@@ -182,11 +182,25 @@ def mapped(path: str) -> lex.Lexicon:
     return lex.Lexicon(path)
 
 
+def frequent_words(counts: DataFrame, size: int) -> list[bytes]:
+    """The most frequent words, ``size`` at most: all above a count, found from a histogram of a few hundred rows."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect()
+    taken, least = 0, None
+    for r in steps:
+        taken += r["k"]
+        if taken > size:
+            break
+        least = r["step"]
+    if least is None:
+        return []
+    return [bytes(x) for x in counts.where(step >= least).select("word").toArrow()["word"].to_pylist()]
+
+
 def compile_lexicon(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, size: int = WORDS) -> str:
-    """Counts the words of all texts and publishes the transducer of the ``size`` most frequent ones."""
-    top = word_counts(df, text).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()["word"].to_pylist()
+    """Counts the words of all texts and publishes the transducer of the most frequent ones, ``size`` at most."""
     merge = merger(vocabulary)
-    ws = sorted(map(bytes, top))
+    ws = sorted(frequent_words(written(word_counts(df, text), "words"), size))
     return publish(df.sparkSession, lex.dump(lex.build(ws, [merge(w) for w in ws])))
 
 

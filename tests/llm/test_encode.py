@@ -82,3 +82,10 @@ def test_empty_lexicon_gives_the_same(tmp_path, spark):
     d = spark.createDataFrame([(1, "The cat’s 3 hats aren't here."), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.ids for r in E.encode(d, lexicon=str(tmp_path / "l")).collect()}
     assert got == {1: library().encode_ordinary("The cat’s 3 hats aren't here."), 2: []}
+
+
+def test_frequent_words_are_bounded(spark):
+    d = spark.createDataFrame([(bytes([65 + i]), 2**i) for i in range(20)], "word binary, n long")
+    assert sorted(E.frequent_words(d, 5)) == [bytes([65 + i]) for i in range(15, 20)]
+    assert len(E.frequent_words(d, 100)) == 20 and E.frequent_words(d, 0) == []
+    assert E.frequent_words(d.limit(0), 5) == []
