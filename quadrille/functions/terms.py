@@ -83,6 +83,17 @@ def dictionary(terms: DataFrame, column: str = "term") -> DataFrame:
     return d.join(offset, "part").select((F.col("before") + F.col("i") + 1).alias("id"), "term")
 
 
+def hashed_id(c: Column) -> Column:
+    """An id that needs no dictionary to be made, only to be read back; see ``collisions``."""
+    return F.xxhash64(c)
+
+
+def collisions(terms: DataFrame, column: str = "term") -> DataFrame:
+    """``id, n``: hashed ids that more than one term has. Almost surely none below a billion terms."""
+    d = terms.select(F.col(column).alias("term")).where(F.col("term").isNotNull()).distinct()
+    return d.groupBy(hashed_id(F.col("term")).alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def encode(quads: DataFrame, nodes: DataFrame, predicates: DataFrame) -> DataFrame:
     """Quads with ids in place of terms; subjects and objects share one dictionary."""
     n = lambda c: nodes.select(F.col("id").alias(f"{c}_id"), F.col("term").alias(c))

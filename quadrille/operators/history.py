@@ -4,7 +4,7 @@ Method (checkpoints and deltas).  Time is cut into periods of ``every`` days.  A
 a day becomes a *patch*.  The store has one row for every fact and period in which the fact changes:
 a *checkpoint*, the full version of the fact when the period begins (does it hold, since when), and
 the list of the period's patches.  Quiet periods store nothing, since the checkpoint before still
-says what holds.  Validity rows are made by folding the patches of each row forward from its own
+says what holds; a stored history also has full versions of all facts at every few periods.  Validity rows are made by folding the patches of each row forward from its own
 checkpoint, so every (fact, period) is folded independently of all others, and a version at any day
 needs one checkpoint and the patches of one period.
 
@@ -15,7 +15,10 @@ the period lists and both windows.  A list holds at most ``every`` patches.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import date
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -94,6 +97,40 @@ def version_at(store: DataFrame, day: str, every: int = EVERY) -> DataFrame:
     return fold(near).where(F.col("t_to").isNull()).select(*FACT, "t_from")
 
 
-def write_store(log: DataFrame, path: str, every: int = EVERY) -> None:
-    """Stores checkpoints and patches, one folder a period, so that a version reads only periods up to its day."""
-    build_store(log, every).write.partitionBy("period").mode("overwrite").parquet(path)
+def full_version(store: DataFrame, period: int) -> DataFrame:
+    """``s, p, o, since``: every fact that holds when a period begins, from the nearest checkpoint of each."""
+    w = Window.partitionBy(*FACT).orderBy(F.desc("period"))
+    near = store.where(F.col("period") < period).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    return fold(near).where(F.col("t_to").isNull()).select(*FACT, F.col("t_from").alias("since"))
+
+
+def write_store(log: DataFrame, path: str, every: int = EVERY, full_every: int = 4) -> None:
+    """Stores patches and checkpoints, one folder a period, and a full version at every ``full_every``-th period of the log.
+
+    A version of any day is then read from one full version and the patches of at most ``full_every`` periods.
+    """
+    build_store(log, every).write.partitionBy("period").mode("overwrite").parquet(f"{path}/changes")
+    store = log.sparkSession.read.parquet(f"{path}/changes")
+    periods = sorted(r["period"] for r in store.select("period").distinct().collect())  # one row a period of the calendar
+    for period in periods[full_every::full_every]:
+        full_version(store, period).write.mode("overwrite").parquet(f"{path}/full/period={period}")
+
+
+def read_version(spark: SparkSession, path: str, day: str, every: int = EVERY) -> DataFrame:
+    """``s, p, o, t_from``: the facts that hold at the end of a day, from the full version before it and the patches since."""
+    d = F.to_date(F.lit(day))
+    period = (date.fromisoformat(day) - date(1970, 1, 1)).days // every
+    changes = spark.read.parquet(f"{path}/changes").where(F.col("period") <= period)
+    try:
+        full = spark.read.parquet(f"{path}/full").where(F.col("period") <= period)
+        base = full.agg(F.max("period")).first()[0]
+    except AnalysisException:  # none was due
+        base = None
+    if base is None:
+        return version_at(changes, day, every)
+    since = changes.where(F.col("period") >= base)
+    w = Window.partitionBy(*FACT).orderBy(F.desc("period"))
+    near = since.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn").withColumn("patches", F.filter("patches", lambda x: x["t"] <= d))
+    changed = fold(near).where(F.col("t_to").isNull()).select(*FACT, "t_from")
+    kept = full.where(F.col("period") == base).select(*FACT, F.col("since").alias("t_from")).join(near.select(*FACT), list(FACT), "left_anti")
+    return kept.unionByName(changed)

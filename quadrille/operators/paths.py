@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.shared import written
+from quadrille.functions.shared import shared_dir, written
+
+NODE = "node string"
 
 
 def reaching(facts: DataFrame, target: str, via: str, most_rounds: int = 10_000) -> DataFrame:
     """``node``: the target and every node from which a path of ``via`` facts leads to it.
 
     Breadth first, from the target backwards: each round joins only the new nodes with the edges and
-    takes away those already known, so cycles end and no edge is followed twice.  Rounds are written
-    to the shared folder; the loop ends when a round finds nothing new.
+    takes away those already known, so cycles end and no edge is followed twice.  Each round is
+    written once to the shared folder beside the others, which cuts lineage; the loop ends when a round
+    finds nothing new.
     """
     spark = facts.sparkSession
     edges = facts.where((F.col("p") == via) & F.col("s").isNotNull() & F.col("o").isNotNull()).select("s", "o").distinct()
     edges = written(edges, "edges")
-    new = spark.createDataFrame([(target,)], "node string")
-    known = new
-    for _ in range(most_rounds):
+    path = shared_dir(spark, "reached")
+    spark.createDataFrame([(target,)], NODE).write.parquet(f"{path}/round=0")
+    for i in range(most_rounds):
+        known = spark.read.schema(f"{NODE}, round int").parquet(path)
+        new = known.where(F.col("round") == i).select("node")
         step = edges.join(new, edges["o"] == new["node"], "left_semi").select(F.col("s").alias("node")).distinct()
-        new = written(step.join(known, "node", "left_anti"), "reached")
-        if new.isEmpty():
-            return known
-        known = written(known.unionAll(new), "known")
+        step.join(known.select("node"), "node", "left_anti").write.parquet(f"{path}/round={i + 1}")
+        if spark.read.schema(NODE).parquet(f"{path}/round={i + 1}").isEmpty():
+            return known.select("node")
     raise RuntimeError(f"no end after {most_rounds} rounds")

@@ -7,9 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.plans.sparql import Const, Pattern
+from quadrille.plans.sparql import Const, Pattern, Var
 
-#: Share of rows that is left per bound position when nothing is known.
+#: Share of rows that is left per bound position when nothing is known: a subject has few facts, an object may be shared by many.
 GUESS = {"s": 1e-5, "p": 1e-1, "o": 1e-3}
 
 
@@ -20,13 +20,18 @@ class Statistics:
     total: float = 1e6
     counts: dict[tuple[str | None, str | None, str | None], int] = field(default_factory=dict)
 
-    def estimate(self, p: Pattern) -> float:
-        key = tuple(x.text if isinstance(x, Const) else None for x in (p.s, p.p, p.o))
-        if key in self.counts:
-            return self.counts[key]
-        n = self.total
-        for name, k in zip("spo", key):
-            n *= GUESS[name] if k is not None else 1
+    def estimate(self, p: Pattern, bound: set[str] = frozenset()) -> float:
+        """Rows of a pattern; with variables bound, rows for each solution there is so far."""
+        terms = (p.s, p.p, p.o)
+        key = tuple(x.text if isinstance(x, Const) else None for x in terms)
+        n = self.counts.get(key)
+        if n is None:
+            n = self.total
+            for name, k in zip("spo", key):
+                n *= GUESS[name] if k is not None else 1
+        for name, x in zip("spo", terms):
+            if isinstance(x, Var) and x.name in bound:
+                n *= GUESS[name]
         return n
 
 
@@ -55,7 +60,7 @@ def look_up(patterns: list[Pattern], by_p: DataFrame, by_sp: DataFrame, by_op: D
 
 
 def order(patterns: list[Pattern], st: Statistics | None = None) -> list[Pattern]:
-    """Patterns without variables first, then greedily: the smallest, then the smallest that shares a variable; a cycle is closed as soon as it can be."""
+    """Patterns without variables first, then greedily: the smallest, then the one that multiplies the solutions least; a cycle is closed as soon as it can be."""
     st = st or Statistics()
     rest = list(dict.fromkeys(patterns))
     out = [p for p in rest if not p.vars]
@@ -64,7 +69,7 @@ def order(patterns: list[Pattern], st: Statistics | None = None) -> list[Pattern
     while rest:
         near = [p for p in rest if bound & set(p.vars)] or rest
         closing = [p for p in near if set(p.vars) <= bound]
-        best = min(closing or near, key=st.estimate)
+        best = min(closing or near, key=lambda p: st.estimate(p, bound))
         out.append(best)
         rest.remove(best)
         bound |= set(best.vars)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from quadrille.plans.problems import _SPELLS
 from quadrille.plans.sparql import RDF_TYPE, Const, Pattern, Var
 from quadrille.sources import mapping, text
 from quadrille.store import Store
+from quadrille.streaming import log_stream
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -484,6 +486,11 @@ def reification_test(spark, d):
     return table(spark, d, "predicate_dict").select("p", T.about_statement(F.col("p")).alias("about"))
 
 
+@other("dict_hash_collisions", f"SELECT CAST(0 AS BIGINT) AS id, count(*) AS n FROM {_TERMS} HAVING count(*) <> count(DISTINCT term)")
+def dict_hash_collisions(spark, d):
+    return T.collisions(_terms(spark, d))
+
+
 # text in and out
 
 @other(
@@ -504,3 +511,16 @@ def built_store_query(spark, d):
     path = shared_dir(spark, "store")
     changing(spark, d).save(path)
     return Store.open(spark, path).query(PREFIXES + _WORKS.format(when(DAY)))
+
+
+@other("stream_changes_by_day", "SELECT t AS day, upper(trim(op)) AS op, count(*) AS n FROM change_log WHERE t IS NOT NULL GROUP BY 1, 2")
+def stream_changes_by_day(spark, d):
+    """The log read as a stream to its end; the result is as small as the calendar."""
+    from pathlib import Path
+
+    path = Path(f"{d}/change_log.parquet")
+    source = log_stream.read_log(spark, str(path)) if path.is_dir() else log_stream.read_log(spark, d, pathGlobFilter=path.name)
+    name = f"by_day_{uuid.uuid4().hex[:8]}"
+    q = log_stream.changes_by_day(source).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)

@@ -17,7 +17,7 @@ from quadrille.operators import history as H
 from quadrille.operators import statistics as S
 from quadrille.operators import update as U
 from quadrille.plans import execute, planner
-from quadrille.plans.sparql import Select, Times, Update, parse
+from quadrille.plans.sparql import Const, Pattern, Select, Times, Update, parse
 
 LOG = "op string, s string, p string, o string, t date, seq long"
 
@@ -112,6 +112,13 @@ class Store:
         """The store after an update; ``seq`` must lie beyond those in use."""
         return self.append(self.changes(text, day, seq))
 
+    def update_edge(self, old: tuple[str, str, str], new: tuple[str, str, str], day: dt.date | None = None, seq: int = 1 << 40) -> Store:
+        """The store with one fact in place of another, if that holds."""
+        day = day or dt.date.today()
+        was = U.log_rows(self.spark, self.current(), Update([Pattern(*map(Const, old))], [], True), day, seq)
+        rows = was.unionByName(was.select(F.lit("INSERT").alias("op"), *[F.lit(x).alias(c) for c, x in zip("spo", new)], "t", (F.col("seq") + 1).alias("seq")))
+        return self.append(rows)
+
     def append(self, rows: DataFrame) -> Store:
         """The store with log rows added."""
         log = self.log

@@ -50,15 +50,18 @@ def test_same_as_replay(spark, seed, every):
     assert len(got) == len(set(got)) and set(got) == replay(rows)
 
 
-def test_version_from_nearest_checkpoint(spark, tmp_path):
+@pytest.mark.parametrize("full_every", [1, 3, 100])
+def test_version_from_nearest_checkpoint(spark, tmp_path, full_every):
     rows = some_log(4)
     log = spark.createDataFrame(rows, SCHEMA)
-    H.write_store(log, str(tmp_path / "store"), 10)
-    store = spark.read.parquet(str(tmp_path / "store"))
+    path = str(tmp_path / "store")
+    H.write_store(log, path, 10, full_every)
+    store = spark.read.parquet(f"{path}/changes")
     for n in (-1, 0, 9, 10, 45, 89, 500):
         day = D(n)
         want = {(s, p, o, a) for s, p, o, a, b in replay(rows) if a <= day and (b is None or b > day)}
         assert {tuple(r) for r in H.version_at(store, day.isoformat(), 10).collect()} == want
+        assert sorted(tuple(r) for r in H.read_version(spark, path, day.isoformat(), 10).collect()) == sorted(want)
     assert {tuple(r) for r in H.fold(store).select("s", "p", "o", "t_from", "t_to").collect()} == replay(rows)
 
 

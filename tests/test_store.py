@@ -182,3 +182,39 @@ def test_states_grow_without_deletes_and_match_replay(spark):
             if t <= day:
                 last[(a, p, o)] = op
         assert ask(s, f"SELECT * {{ ?s ?p ?o . filter (t = {day}) }}") == {k for k, op in last.items() if op == "INSERT"}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf):
+    s = Store.of_quads(spark.read.parquet(f"{sf}/temporal_quads.parquet"))
+    p = plan(s.query("SELECT ?x { ?x <ub:advisor> ?y . filter (t = 2022-12-31) }"))
+    assert "EqualTo(p,ub:advisor)" in p and "LessThanOrEqual(t,2022-12-31)" in p
+    assert "quad_id" not in p.split("ReadSchema")[1] and "src_file" not in p
+    p = plan(s.query("SELECT ?x { ?x <ub:advisor> ?y . ?y <ub:worksFor> ?d . filter (t = 2022-12-31) }"))
+    assert "Cartesian" not in p and "PythonUDF" not in p and "Pandas" not in p
+
+
+def test_edge_replaced(changing):
+    s = changing.update_edge(("a", "p", "c"), ("a", "p", "new"), D(2022, 6, 1))
+    assert ask(s, "SELECT ?o { <a> <p> ?o }") == {("new",)}
+    assert ask(changing.update_edge(("a", "p", "no"), ("a", "p", "new"), D(2022, 6, 1)), "SELECT ?o { <a> <p> ?o }") == {("c",)}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quadrille.__main__ import main
+
+    at = lambda x: str(tmp_path / x)
+    (tmp_path / "build.nt").write_text("<a> <p> <b> <2022-01-01> .\n<a> <p> .\n")
+    (tmp_path / "more.nt").write_text("<a> <p> <c> .\n<a> <p> <b> .\n")
+    (tmp_path / "q").write_text("# a comment\nSELECT ?x\n{ <a> <p> ?x }")
+    main(["build", at("build.nt"), at("s1")], spark)
+    assert spark.read.parquet(at("s1/faulty")).count() == 1
+    main(["insert", at("more.nt"), at("s1"), at("s2"), "--day", "2022-05-01"], spark)
+    main(["query", at("s2"), at("q"), "--repeat", "2"], spark)
+    assert capsys.readouterr().out.count("2 rows") == 2
+    main(["predicates", at("s2")], spark)
+    assert "|p" in capsys.readouterr().out
+    assert ask(Store.open(spark, at("s2")), "SELECT ?x { <a> <p> ?x . filter (t = 2022-04-30) }") == {("b",)}
