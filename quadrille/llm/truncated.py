@@ -155,7 +155,7 @@ class Model:
         dotted = "." in marks or "…" in marks
         if marks and self.tail(core) in self.natural:  # an ellipsis that belongs there, damaged or not
             return False
-        if _ENDS.search(core) or sum(map(str.isalpha, core)) <= sum(map(str.isdigit, core)):
+        if _ENDS.search(core) or not any(map(str.isalpha, core)):
             return False  # a whole sentence, a row of numbers, signs only
         part, follows = fragment(core)
         if not any(c.isalnum() for c in part) and not follows:
