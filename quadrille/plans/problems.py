@@ -25,6 +25,11 @@ def p1_faults_by_file(spark: SparkSession, d: str) -> DataFrame:
     return L.fault_counts(table(spark, d, "quad_lines"))
 
 
+def p1_rate_by_file(spark: SparkSession, d: str) -> DataFrame:
+    p = L.parse_quads(table(spark, d, "quad_lines"), keep=("file_name",))
+    return p.groupBy("file_name").agg(F.count("*").alias("n_lines"), F.count("reason").alias("n_faulty"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     quads = skew.hot_keys(table(spark, d, "temporal_quads"), "p", SHARE, tie=["quad_id"])
     pages = skew.hot_keys(table(spark, d, "log_chunk_meta"), "pid", SHARE, tie=["page_no"])
@@ -37,7 +42,7 @@ def p3_predicates(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "temporal_quads")
     s = skew.per_key(q, "p", "s", tie=["quad_id"]).select("k", F.col("n").alias("n_rows"), F.col("runs").alias("n_s"))
     o = skew.per_key(q, "p", "o", tie=["quad_id"]).select("k", F.col("runs").alias("n_o"))
-    t = skew.per_key(q, "p", "t", tie=["quad_id"]).select("k", F.col("runs").alias("n_t"))
+    t = skew.per_key(q.select("p", "t").distinct(), "p", "t").select("k", F.col("runs").alias("n_t"))
     both = s.join(o, s["k"].eqNullSafe(o["k"])).drop(o["k"])
     return both.join(t, both["k"].eqNullSafe(t["k"])).drop(t["k"]).withColumnRenamed("k", "p").select("p", "n_rows", "n_s", "n_o", "n_t")
 
@@ -58,7 +63,7 @@ def p4_version(spark: SparkSession, d: str) -> DataFrame:
     return H.version_at(H.build_store(table(spark, d, "change_log")), "2022-12-31")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_quads, p1_faults_by_file, p3_found, p3_predicates, p3_pages, p4_found, p4_version)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_quads, p1_faults_by_file, p1_rate_by_file, p3_found, p3_predicates, p3_pages, p4_found, p4_version)}
 
 _GOOD = L.LINE.replace("'", "''")
 _LINES = f"""
@@ -76,6 +81,7 @@ SELECT s, p, o, t AS t_from, op, lead(t) OVER w AS t_to FROM (
 WHERE op IS DISTINCT FROM coalesce(was, 'DELETE') WINDOW w AS (PARTITION BY s, p, o ORDER BY t)
 """
 ORACLE_SQL = {
+    "p1_rate_by_file": f"SELECT file_name, count(*) AS n_lines, count(*) FILTER (NOT good) AS n_faulty FROM ({_LINES}) WHERE says GROUP BY file_name",
     "p1_found": f"SELECT line_id FROM ({_LINES}) WHERE says AND NOT good",
     "p1_quads": f"""
         SELECT line_id, regexp_extract(line, '{_GOOD}', 1) AS s, regexp_extract(line, '{_GOOD}', 2) AS p,

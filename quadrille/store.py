@@ -20,6 +20,10 @@ from quadrille.plans import execute, planner
 from quadrille.plans.sparql import Const, Pattern, Select, Times, Update, parse
 
 LOG = "op string, s string, p string, o string, t date, seq long"
+PERIODS = "s string, p string, o string, t_from date, t_to date"
+COUNTS = {"p": ("p",), "sp": ("s", "p"), "op": ("o", "p")}
+#: Up to so many predicates have folders of their own; with more, files are only sorted.
+FOLDERS = 5000
 
 
 @dataclass(frozen=True)
@@ -31,6 +35,7 @@ class Store:
     log: DataFrame | None = None
     periods: DataFrame | None = None
     planned: bool = False  # look up counts before ordering patterns
+    stored: str | None = None  # where count tables lie that fit this very state
 
     # making stores
 
@@ -48,7 +53,8 @@ class Store:
     @staticmethod
     def open(spark: SparkSession, path: str, planned: bool = True) -> Store:
         """A store that ``save`` has written."""
-        return Store(spark, log=spark.read.schema(LOG).parquet(f"{path}/log"), periods=spark.read.parquet(f"{path}/periods"), planned=planned)
+        read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+        return Store(spark, log=read("log", LOG), periods=read("periods", PERIODS), planned=planned, stored=path)
 
     # what holds when
 
@@ -97,10 +103,15 @@ class Store:
         state = self.at(q.times, mode)
         st = None
         if self.planned:
-            f = self.current().facts
-            st = planner.look_up(q.where.patterns, *(S.counts(f, by) for by in (["p"], ["s", "p"], ["o", "p"])))
+            st = planner.look_up(q.where.patterns, *(self.counts(name) for name in COUNTS))
         return execute.run(state, q, st)
 
+    def counts(self, name: str) -> DataFrame:
+        """Current facts by ``p``, ``sp`` or ``op``, read if they were saved."""
+        if self.stored:
+            return self.spark.read.parquet(f"{self.stored}/counts/{name}")
+        return S.counts(self.current().facts, COUNTS[name])
+
     def changes(self, text: str, day: dt.date | None = None, seq: int = 0) -> DataFrame:
         """The log rows an update amounts to; ``day`` is today if not given."""
         u = parse(text)
@@ -125,7 +136,7 @@ class Store:
         if log is None:
             log = self.quads.select(F.lit("INSERT").alias("op"), "s", "p", "o", "t", F.lit(0).cast("long").alias("seq"))
         log = log.unionByName(rows.select("op", "s", "p", "o", "t", "seq"))
-        return replace(self, quads=None, log=log, periods=H.history(log))
+        return replace(self, quads=None, log=log, periods=H.history(log), stored=None)
 
     def insert(self, triples: DataFrame, day: dt.date | None = None, seq: int = 1 << 40) -> Store:
         """Triples that hold from a day on, today if not given; stating a fact that holds changes nothing."""
@@ -135,14 +146,20 @@ class Store:
     # storage
 
     def save(self, path: str, mode: str = "errorifexists") -> None:
-        """Log and periods as Parquet in folders by predicate, sorted so that a subject is found by row-group statistics.
+        """Log, periods and counts as Parquet, in folders by predicate, sorted so that a subject is found by row-group statistics.
 
-        A heavy predicate is cut across files by range of subjects; a rare one has one file.
+        A heavy predicate is cut across files by range of subjects; a rare one has one file. With more
+        than ``FOLDERS`` predicates there are no folders, and predicates too are found by statistics.
         """
         log = self.log if self.log is not None else self.append(self.spark.createDataFrame([], LOG)).log
+        few = log.agg(F.approx_count_distinct("p")).first()[0] <= FOLDERS
         for name, df, order in (("log", log, ("p", "t", "seq")), ("periods", self.validity(), ("p", "s", "o"))):
             d = df.repartitionByRange(partitions(self.spark), *order).sortWithinPartitions(*order)
-            d.write.mode(mode).partitionBy("p").parquet(f"{path}/{name}")
+            w = d.write.mode(mode)
+            (w.partitionBy("p") if few else w).parquet(f"{path}/{name}")
+        facts = self.spark.read.schema(PERIODS).parquet(f"{path}/periods").where(F.col("t_to").isNull())
+        for name, by in COUNTS.items():
+            S.counts(facts, by).repartitionByRange(*by).sortWithinPartitions(*by).write.mode(mode).parquet(f"{path}/counts/{name}")
 
     def statistics(self, *by: str) -> DataFrame:
         """Facts that hold now, counted by some of s, p, o."""

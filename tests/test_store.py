@@ -157,12 +157,19 @@ def test_insert_twice_changes_nothing(spark, store):
     assert {r.t_from for r in s.validity().where("s = 'alice' AND p = 'worksFor'").collect()} == {D(2022, 1, 10)}
 
 
-def test_save_and_open(spark, changing, tmp_path):
-    changing.save(str(tmp_path / "s"))
+@pytest.mark.parametrize("folders", [0, 5000])
+def test_save_and_open(spark, changing, tmp_path, monkeypatch, folders):
+    monkeypatch.setattr("quadrille.store.FOLDERS", folders)
+    changing.update("INSERT DATA { <a> <12> <b> }", D(2022, 5, 1)).save(str(tmp_path / "s"))
     s = Store.open(spark, str(tmp_path / "s"))
     assert ask(s, "SELECT ?o { <a> <p> ?o . filter (t = 2022-02-10) }") == {("b",), ("c",)}
-    plan = s.query("SELECT ?o { <a> <p> ?o . filter (t = 2022-02-10) }")._jdf.queryExecution().toString()
-    assert "PartitionFilters" in plan and "p = p" in plan.replace("#", " ").replace("  ", " ") or "PartitionFilters: [isnotnull(p" in plan
+    assert ask(s, "SELECT ?p { ?s ?p ?o }") == {("p",), ("12",)}
+    assert {tuple(r) for r in s.counts("op").collect()} == {("c", "p", 1), ("b", "12", 1)}
+    text = plan(s.query("SELECT ?o { <a> <p> ?o . filter (t = 2022-02-10) }"))
+    filters = text.split("PartitionFilters: [")[1].split("]")[0]
+    assert ("= p" in filters) == (folders > 0)
+    again = s.update("DELETE { <a> ?p ?o }", D(2022, 6, 1))
+    assert again.stored is None and ask(again, "SELECT ?p { ?s ?p ?o }") == set()
 
 
 def test_snapshot_positions(spark, store):
