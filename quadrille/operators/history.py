@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quadrille.functions.shared import present
+
 FACT = ("s", "p", "o")
 EVERY = 182
 
@@ -34,7 +36,7 @@ def deciding_patches(log: DataFrame) -> DataFrame:
     """
     op = F.upper(F.regexp_replace("op", r"^\s+|\s+$", ""))
     d = log.select(*FACT, F.col("t").cast("date").alias("t"), op.alias("op"), F.coalesce(F.col("seq").cast("long"), F.lit(-(2**61))).alias("seq"))
-    d = d.where(F.col("op").isin("INSERT", "DELETE")).dropna(subset=[*FACT, "t"])
+    d = present(d, *FACT, "t").where(F.col("op").isin("INSERT", "DELETE"))
     # one long keeps the aggregate in its fixed-width fast path
     code = F.col("seq") * 2 + (F.col("op") == "INSERT").cast("long")
     return d.groupBy(*FACT, "t").agg(F.max(code).alias("code")).select(*FACT, "t", (F.pmod("code", F.lit(2)) == 1).alias("on"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.functions.shared import present
 from quadrille.sources.quad_lines import IRI, TAG, parse_quads
 
 _TRIPLE = rf'^[ \t]*<([^ \t<>"]+)>[ \t]+<([^ \t<>"]+)>[ \t]+(?:<([^ \t<>"]+)>|"((?:[^"\\]|\\.)+)"(?:{TAG})?)[ \t]*\.[ \t]*\r?$'
@@ -46,4 +47,4 @@ def as_lines(quads: DataFrame) -> DataFrame:
 
 
 def write_quads(quads: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    as_lines(quads.select("s", "p", "o", "t").dropna()).write.mode(mode).text(path)
+    as_lines(present(quads.select("s", "p", "o", "t"), "s", "p", "o", "t")).write.mode(mode).text(path)

@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.functions.shared import partitions
+from quadrille.functions.shared import partitions, present
 from quadrille.operators import history as H
 from quadrille.operators import statistics as S
 from quadrille.operators import update as U
@@ -42,7 +42,7 @@ class Store:
     @staticmethod
     def of_quads(quads: DataFrame, planned: bool = False) -> Store:
         """An insert-only store; rows with a null in s, p, o or t aren't facts."""
-        q = quads.select("s", "p", "o", F.col("t").cast("date").alias("t")).dropna()
+        q = present(quads.select("s", "p", "o", F.col("t").cast("date").alias("t")), "s", "p", "o", "t")
         return Store(quads.sparkSession, quads=q, planned=planned)
 
     @staticmethod
@@ -141,7 +141,7 @@ class Store:
     def insert(self, triples: DataFrame, day: dt.date | None = None, seq: int = 1 << 40) -> Store:
         """Triples that hold from a day on, today if not given; stating a fact that holds changes nothing."""
         d = triples.select(F.lit("INSERT").alias("op"), "s", "p", "o", F.lit(day or dt.date.today()).alias("t"), F.lit(seq).cast("long").alias("seq"))
-        return self.append(d.dropna().dropDuplicates(["s", "p", "o"]))
+        return self.append(present(d, "s", "p", "o").dropDuplicates(["s", "p", "o"]))
 
     # storage
 
