@@ -102,7 +102,7 @@ class _Pairs:
             self.parts.append((t, p, src, h))
             self.n += len(h)
 
-    def runs(self, field: str, width: int, hot: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    def runs(self, field: str, width: int, hot: dict[int, int], kinds: tuple[int, ...] = (0, 1)) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
         t = np.concatenate([x[0] for x in self.parts]).astype(np.int64)
@@ -116,7 +116,7 @@ class _Pairs:
             cut[t == day] = k
         shard = ((high * cut.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
         days, day = np.unique(t, return_inverse=True)
-        for kind in (0, 1):
+        for kind in kinds:
             if kind == 0:  # one day, or one hash range of a hot day
                 bucket = ((t * 1000003 + shard * 7919) * 2654435761 % (1 << 31)) % width
                 lead = day * (int(shard.max()) + 1) + shard
@@ -151,11 +151,21 @@ def _days(b: pa.RecordBatch) -> np.ndarray:
     return pc.fill_null(t, NO_DAY).to_numpy(zero_copy_only=False)
 
 
+def _cuts(by_day: DataFrame, width: int) -> dict[int, int]:
+    """Days with more than a bucket's share of rows, and into how many hash ranges to cut them: fewer than ``width`` days. ``by_day``: t, n."""
+    total = by_day.agg(F.sum("n")).first()[0] or 0
+    return {r["t"]: -(-r["n"] * width // total) for r in by_day.where(F.col("n") * width > total).collect()} if total else {}
+
+
 def _hot_days(df: DataFrame, width: int) -> dict[int, int]:
-    """Days with more than a bucket's share of rows, and into how many hash ranges to cut them: fewer than ``width`` days."""
-    by = df.groupBy(F.coalesce(F.unix_date("t"), F.lit(NO_DAY)).alias("t")).agg(F.count("*").alias("n"))
-    total = df.count()
-    return {r["t"]: -(-r["n"] * width // total) for r in by.where(F.col("n") * width > total).collect()}
+    return _cuts(df.groupBy(F.coalesce(F.unix_date("t"), F.lit(NO_DAY)).alias("t")).agg(F.count("*").alias("n")), width)
+
+
+def _hashes(run: pa.Array, n: np.ndarray) -> np.ndarray:
+    """The hashes of a column of runs, one run behind the other."""
+    wide = np.int64 if pa.types.is_large_binary(run.type) else np.int32
+    offset = np.frombuffer(run.buffers()[1], wide)[run.offset : run.offset + len(run) + 1].astype(np.int64)
+    return decode(np.frombuffer(run.buffers()[2], np.uint8), offset[:-1], n)
 
 
 def build_runs(df: DataFrame, width: int | None = None) -> DataFrame:
@@ -186,12 +196,31 @@ def build_runs(df: DataFrame, width: int | None = None) -> DataFrame:
     return d.mapInArrow(run, RUNS)
 
 
-def merge_runs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Partial results of two sets of rows as one; both made with the same ``width``, and of hot days cut alike.
+def merge_runs(a: DataFrame, b: DataFrame, width: int | None = None) -> DataFrame:
+    """Partial results of two sets of rows as one, however each was cut; counts are those of all rows together.
 
-    Runs are kept side by side; the union is taken when they are counted.
+    Runs are cut anew for the days that are hot in both together, and united where a task meets them.
     """
-    return a.unionByName(b)
+    runs = a.unionByName(b)
+    width = width or partitions(runs.sparkSession)
+    hot = _cuts(runs.where("kind = 0").groupBy("t").agg(F.sum("n").alias("n")), width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, str], _Pairs] = {}
+        for x in batches:
+            kind, field, n = x.column(0).to_numpy(), np.array(x.column(2).to_pylist()), x.column(6).to_numpy().astype(np.int64)
+            for key in set(zip(kind.tolist(), field.tolist())):
+                at = np.flatnonzero((kind == key[0]) & (field == key[1]))
+                part = x.take(pa.array(at))
+                each = pa.array(np.repeat(np.arange(len(at)), n[at]))
+                p = held.setdefault(key, _Pairs())
+                p.add(part.column(3).to_numpy()[each.to_numpy()], part.column(4).take(each), part.column(5).take(each), _hashes(part.column(7), n[at]))
+                if p.n >= FLUSH:
+                    yield from p.runs(key[1], width, hot, (key[0],))
+        for (kind_, field_), p in held.items():
+            yield from p.runs(field_, width, hot, (kind_,))
+
+    return runs.mapInArrow(run, RUNS)
 
 
 def count_runs(runs: DataFrame, width: int | None = None) -> DataFrame:
@@ -210,9 +239,7 @@ def count_runs(runs: DataFrame, width: int | None = None) -> DataFrame:
         raw = tab["run"].combine_chunks()
         if isinstance(raw, pa.ChunkedArray):
             raw = pa.concat_arrays(raw.chunks)
-        wide = np.int64 if pa.types.is_large_binary(raw.type) else np.int32
-        offset = np.frombuffer(raw.buffers()[1], wide)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
-        h = decode(np.frombuffer(raw.buffers()[2], np.uint8), offset[:-1], n)
+        h = _hashes(raw, n)
         code, names = {}, {}
         for c in ("t", "p", "src_file"):
             code[c], names[c] = _codes(tab[c])

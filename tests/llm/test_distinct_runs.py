@@ -44,13 +44,21 @@ def test_against_brute_force(spark):
 
 
 def test_partial_results_merge(spark, tmp_path):
-    rows = some(2)
-    halves = [spark.createDataFrame(rows[a:b], SCHEMA) for a, b in ((0, 1200), (1200, None))]
-    for i, h in enumerate(halves):
-        R.build_runs(h, 1).write.parquet(str(tmp_path / f"r{i}"))
+    """Stored with different widths and different hot days, they give the counts of all rows."""
+    rows = sorted(some(2), key=lambda r: (r[0] is None, r[0] or dt.date.max, str(r)))
+    halves = [rows[:1200] + rows[2500:], rows[1000:2600]]
+    for i, (h, width) in enumerate(zip(halves, (3, 16))):
+        d = spark.createDataFrame(h, SCHEMA)
+        assert R._hot_days(d, width)
+        R.build_runs(d, width).write.parquet(str(tmp_path / f"r{i}"))
     a, b = (spark.read.parquet(str(tmp_path / f"r{i}")) for i in (0, 1))
-    assert counted(R.merge_runs(a, b), 1) == brute(rows)
-    assert counted(R.merge_runs(a, a), 1) == brute(rows[:1200])
+    assert R._hot_days(spark.createDataFrame(halves[0], SCHEMA), 3) != R._hot_days(spark.createDataFrame(halves[1], SCHEMA), 16)
+    for width in (None, 1, 16):
+        assert counted(R.merge_runs(a, b, width), width) == brute(rows)
+        assert counted(R.merge_runs(a, a, width), width) == brute(halves[0])
+    once = R.merge_runs(a, b, 5)
+    assert counted(R.merge_runs(once, b, 7), 7) == brute(rows)
+    assert counted(R.merge_runs(a.limit(0), a.limit(0))) == {}
 
 
 def test_hot_day_and_flushes(spark, monkeypatch):
