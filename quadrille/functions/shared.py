@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quadrille-")
+        local = tempfile.mkdtemp(prefix="quadrille-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        base = f"file://{local}"
         spark.conf.set(CHECKPOINT_CONF, base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
