@@ -156,17 +156,18 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 def publish(spark: SparkSession, content: bytes) -> str:
     """Puts a file into the cluster's shared folder. Gives its path, with a scheme unless workers can map it there."""
-    path = shared_dir(spark, "lexicon")
-    if path.startswith("file:") or "://" not in path:
-        local = path.removeprefix("file://").removeprefix("file:")
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(shared_dir(spark, "lexicon"))
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path = fs.makeQualified(p).toString()
+    if path.startswith("file:"):
+        local = path.removeprefix("file:").replace("//", "/")
         os.makedirs(os.path.dirname(local), exist_ok=True)
         with open(local + ".part", "wb") as f:
             f.write(content)
         os.rename(local + ".part", local)
         return local
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    out = fs.create(p)
     out.write(content)
     out.close()
     spark.sparkContext.addFile(path)  # every executor, late ones too, fetches a copy to map

@@ -89,3 +89,12 @@ def test_frequent_words_are_bounded(spark):
     assert sorted(E.frequent_words(d, 5)) == [bytes([65 + i]) for i in range(15, 20)]
     assert len(E.frequent_words(d, 100)) == 20 and E.frequent_words(d, 0) == []
     assert E.frequent_words(d.limit(0), 5) == []
+
+
+def test_lexicon_outside_the_file_system_is_fetched(spark, tmp_path):
+    """Workers map the copy that the cluster fetched for them."""
+    words = sorted([b"The", b" cat"])
+    (tmp_path / "lexicon-far").write_bytes(lex.dump(lex.build(words, [E.merger(E.VOCABULARY)(w) for w in words])))
+    spark.sparkContext.addFile(str(tmp_path / "lexicon-far"))
+    d = spark.createDataFrame([(1, "The cat sat")], "doc_id long, text string")
+    assert E.encode(d, lexicon="far://folder/lexicon-far").first().ids == library().encode_ordinary("The cat sat")
