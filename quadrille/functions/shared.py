@@ -11,20 +11,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_made: set[str] = set()
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared folder (``spark.checkpoint.dir``).
+class NoSharedFolder(RuntimeError):
+    """A cluster without a folder that all its machines see."""
 
-    Where the setting is absent (tests, local mode) a temporary folder is chosen once a session.
+
+def shared_dir(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh folder under the cluster's shared folder (``spark.checkpoint.dir``), which goes when the session ends unless kept.
+
+    Without the setting a local session (tests) gets a temporary folder; on a cluster, where every
+    machine would have its own, that is refused.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise NoSharedFolder(f"set {CHECKPOINT_CONF} to a folder that all machines of the cluster share")
         local = tempfile.mkdtemp(prefix="quadrille-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         base = f"file://{local}"
         spark.conf.set(CHECKPOINT_CONF, base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if not keep:
+        _made.add(path)
+    return path
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def release() -> None:
+    """Deletes the intermediate folders made so far; results that still read them become invalid. Called when Python ends."""
+    spark = SparkSession.getActiveSession()
+    for path in sorted(_made):
+        try:
+            if path.startswith(("file:", "/")):
+                shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+            elif spark is not None:
+                fs, p = file_system(spark, path)
+                fs.delete(p, True)
+            else:
+                continue
+        except Exception:  # the session may be gone already
+            continue
+        _made.discard(path)
+
+
+atexit.register(release)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

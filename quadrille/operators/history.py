@@ -1,31 +1,36 @@
 """History of changing attribute values: the periods in which each fact was valid.
 
 Method (checkpoints and deltas).  Time is cut into periods of ``every`` days.  A change that decides
-a day becomes a *patch*.  The store has one row for every fact and period in which the fact changes:
-a *checkpoint*, the full version of the fact when the period begins (does it hold, since when), and
-the list of the period's patches.  Quiet periods store nothing, since the checkpoint before still
-says what holds; a stored history also has full versions of all facts at every few periods.  Validity rows are made by folding the patches of each row forward from its own
-checkpoint, so every (fact, period) is folded independently of all others, and a version at any day
-needs one checkpoint and the patches of one period.
+a day becomes a *patch*; ``changes`` has one row for every fact and period in which it changes, with
+the list of its patches.  At every ``full_every``-th period that has changes a *full version* is stored:
+every fact that holds when the period begins, and since when.  Each full version is made from the one
+before and the patches since, so building is linear in the log.  The time from one full version to
+the next is a *stretch*.  Validity rows come from folding the patches of a fact in a stretch forward
+from the full version at its beginning: what ends within is given there, what is still open goes on
+in the next full version, and in the last stretch stays open.  Stretches and facts are folded
+independently of each other, and a version at any day reads one full version and the patches of at
+most ``full_every`` periods.
 
 Scale.  Redelivered and same-day changes are combined before the shuffle by a hash aggregate over
-fixed-width state.  What remains has at most one patch a fact and day; one exchange by fact serves
-the period lists and both windows.  A list holds at most ``every`` patches.
+fixed-width state.  What remains has at most one patch a fact and day; a fold has at most
+``every * full_every`` of them.  Full versions are as many as the calendar has stretches.
 """
 
 from __future__ import annotations
 
 from datetime import date
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quadrille.functions.shared import present
+from quadrille.functions.shared import file_system, present, shared_dir
 
 FACT = ("s", "p", "o")
-EVERY = 182
+EVERY, FULL_EVERY = 91, 2
+_PATCHES = "array<struct<t:date,on:boolean>>"
+CHANGES = f"s string, p string, o string, patches {_PATCHES}, period int"
+FULL = "s string, p string, o string, since date, period int"
 
 
 def deciding_patches(log: DataFrame) -> DataFrame:
@@ -42,97 +47,114 @@ def deciding_patches(log: DataFrame) -> DataFrame:
     return d.groupBy(*FACT, "t").agg(F.max(code).alias("code")).select(*FACT, "t", (F.pmod("code", F.lit(2)) == 1).alias("on"))
 
 
-def build_store(log: DataFrame, every: int = EVERY) -> DataFrame:
-    """The checkpoint-delta store: ``s, p, o, period, holds, since, patches``."""
-    period = F.floor(F.unix_date("t") / every).cast("int")
-    d = deciding_patches(log).repartition(*FACT).withColumn("period", period)
-    d = d.groupBy(*FACT, "period").agg(F.sort_array(F.collect_list(F.struct("t", "on"))).alias("patches"))
-    # what a period does to a fact: does it hold at the end, and since which of the period's own days
-    last_off = F.array_max(F.transform(F.filter("patches", lambda x: ~x["on"]), lambda x: x["t"]))
-    own = F.array_min(F.transform(F.filter("patches", lambda x: x["on"] & (F.col("last_off").isNull() | (x["t"] > F.col("last_off")))), lambda x: x["t"]))
-    d = d.withColumn("last_off", last_off).withColumn("own", own).withColumn("cut", F.col("last_off").isNotNull().cast("int"))
-    w = Window.partitionBy(*FACT).orderBy("period")
-    # between two periods with a DELETE a fact that begins to hold goes on holding
-    d = d.withColumn("stretch", F.sum("cut").over(w))
-    up_to = Window.partitionBy(*FACT, "stretch").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("since_at_end", F.min("own").over(up_to))
-    since = F.lag("since_at_end").over(w)
-    return d.select(*FACT, "period", since.isNotNull().alias("holds"), since.alias("since"), "patches")
-
-
-def fold(store: DataFrame) -> DataFrame:
-    """``s, p, o, t_from, t_to``: the patches of every row folded forward from its checkpoint; ``t_to`` is null while the period is open."""
-    day = "date"
-    zero = F.struct(F.col("since").cast(day).alias("since"), F.array().cast(f"array<struct<a:{day},b:{day}>>").alias("done"))
-
-    def step(acc, x):
-        ends = (~x["on"]) & acc["since"].isNotNull()
-        closed = F.concat(acc["done"], F.array(F.struct(acc["since"].alias("a"), x["t"].alias("b"))))
-        since = F.when(x["on"], F.coalesce(acc["since"], x["t"])).otherwise(F.lit(None).cast(day))
-        return F.struct(since.alias("since"), F.when(ends, closed).otherwise(acc["done"]).alias("done"))
-
-    w = Window.partitionBy(*FACT).orderBy("period")
-    d = store.withColumn("latest", F.lead("period").over(w).isNull()).withColumn("f", F.aggregate("patches", zero, step))
-    still = F.when(F.col("latest") & F.col("f.since").isNotNull(), F.array(F.struct(F.col("f.since").alias("a"), F.lit(None).cast(day).alias("b"))))
-    rows = F.explode(F.concat("f.done", F.coalesce(still, F.array().cast(f"array<struct<a:{day},b:{day}>>"))))
-    return d.select(*FACT, rows.alias("v")).select(*FACT, F.col("v.a").alias("t_from"), F.col("v.b").alias("t_to"))
-
-
-def history(log: DataFrame, every: int = EVERY) -> DataFrame:
-    """Every period in which a fact was valid: ``s, p, o, t_from DATE, t_to DATE`` (null while open).
+def history(log: DataFrame) -> DataFrame:
+    """Every period in which a fact was valid: ``s, p, o, t_from DATE, t_to DATE`` (null while open), by one ordered pass over a fact's patches.
 
     A period begins on the day of an INSERT when the fact doesn't hold and ends on the day of the
     next DELETE; changes without effect give nothing; a value that returns gives several rows.
     Values of one attribute don't end each other. Columns other than op, s, p, o, t, seq are ignored;
-    an empty log gives no rows; the result doesn't depend on ``every``, which must be at least 1.
+    an empty log gives no rows. Nothing is stored; see ``write_store`` for histories that are kept.
     """
-    return fold(build_store(log, every))
+    w = Window.partitionBy(*FACT).orderBy("t")
+    d = deciding_patches(log).repartition(*FACT).withColumn("was", F.coalesce(F.lag("on").over(w), F.lit(False))).where("on <> was")
+    return d.withColumn("t_to", F.lead("t").over(w)).where("on").select(*FACT, F.col("t").alias("t_from"), "t_to")
 
 
-def version_at(store: DataFrame, day: str, every: int = EVERY) -> DataFrame:
-    """The facts that hold at the end of ``day`` with the day since when: nearest checkpoint, then its period's patches up to the day."""
-    d = F.to_date(F.lit(day))
-    period = F.floor(F.unix_date(d) / every).cast("int")
-    w = Window.partitionBy(*FACT).orderBy(F.desc("period"))
-    near = store.where(F.col("period") <= period).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
-    near = near.withColumn("patches", F.filter("patches", lambda x: x["t"] <= d))
-    return fold(near).where(F.col("t_to").isNull()).select(*FACT, "t_from")
+# the store of full versions and patches
 
 
-def full_version(store: DataFrame, period: int) -> DataFrame:
-    """``s, p, o, since``: every fact that holds when a period begins, from the nearest checkpoint of each."""
-    w = Window.partitionBy(*FACT).orderBy(F.desc("period"))
-    near = store.where(F.col("period") < period).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
-    return fold(near).where(F.col("t_to").isNull()).select(*FACT, F.col("t_from").alias("since"))
+def period_of(day: date, every: int) -> int:
+    return (day - date(1970, 1, 1)).days // every
 
 
-def write_store(log: DataFrame, path: str, every: int = EVERY, full_every: int = 4) -> None:
-    """Stores patches and checkpoints, one folder a period, and a full version at every ``full_every``-th period of the log.
+def fold(since: Column, patches: Column) -> Column:
+    """``since`` after the patches (null when the fact doesn't hold) and ``done``, the validity periods that ended."""
+    span = "array<struct<a:date,b:date>>"
+    zero = F.struct(since.cast("date").alias("since"), F.array().cast(span).alias("done"))
 
-    A version of any day is then read from one full version and the patches of at most ``full_every`` periods.
-    """
-    build_store(log, every).write.partitionBy("period").mode("overwrite").parquet(f"{path}/changes")
-    store = log.sparkSession.read.parquet(f"{path}/changes")
-    periods = sorted(r["period"] for r in store.select("period").distinct().collect())  # one row a period of the calendar
-    for period in periods[full_every::full_every]:
-        full_version(store, period).write.mode("overwrite").parquet(f"{path}/full/period={period}")
+    def step(acc, x):
+        ends = (~x["on"]) & acc["since"].isNotNull()
+        closed = F.concat(acc["done"], F.array(F.struct(acc["since"].alias("a"), x["t"].alias("b"))))
+        now = F.when(x["on"], F.coalesce(acc["since"], x["t"])).otherwise(F.lit(None).cast("date"))
+        return F.struct(now.alias("since"), F.when(ends, closed).otherwise(acc["done"]).alias("done"))
+
+    return F.aggregate(patches, zero, step)
+
+
+def _gathered(full: DataFrame, changes: DataFrame, *by: str) -> DataFrame:
+    """A row for each fact (and stretch) of a full version or with patches: ``since`` and all its patches in order of time."""
+    a = full.select(*FACT, *by, "since", F.lit(None).cast(_PATCHES).alias("patches"))
+    b = changes.select(*FACT, *by, F.lit(None).cast("date").alias("since"), "patches")
+    g = a.unionByName(b).groupBy(*FACT, *by)
+    return g.agg(F.max("since").alias("since"), F.sort_array(F.flatten(F.collect_list("patches"))).alias("patches"))
+
+
+def advanced(full: DataFrame, changes: DataFrame) -> DataFrame:
+    """``s, p, o, since``: the full version after some changes. Facts that don't change are passed through."""
+    d = _gathered(full, changes).withColumn("f", fold(F.col("since"), F.col("patches")))
+    return d.select(*FACT, F.col("f.since").alias("since")).where(F.col("since").isNotNull())
+
+
+def write_store(log: DataFrame, path: str, every: int = EVERY, full_every: int = FULL_EVERY) -> None:
+    """Stores the patches, one folder a period, and a full version at every ``full_every``-th period that has changes."""
+    spark = log.sparkSession
+    d = deciding_patches(log).withColumn("period", F.floor(F.unix_date("t") / every).cast("int"))
+    d = d.groupBy(*FACT, "period").agg(F.sort_array(F.collect_list(F.struct("t", "on"))).alias("patches"))
+    d.write.partitionBy("period").mode("overwrite").parquet(f"{path}/changes")
+    changes = spark.read.schema(CHANGES).parquet(f"{path}/changes")
+    periods = _folders(spark, f"{path}/changes")
+    starts = periods[::full_every]
+    full = spark.createDataFrame([], FULL)
+    for a, b in zip(starts, starts[1:]):
+        now = advanced(full, changes.where((F.col("period") >= a) & (F.col("period") < b)))
+        now.write.mode("overwrite").parquet(f"{path}/full/period={b}")
+        full = spark.read.schema(FULL).parquet(f"{path}/full").where(F.col("period") == b)
+
+
+def _folders(spark: SparkSession, path: str) -> list[int]:
+    """The periods that have a folder; as many as the calendar has at most."""
+    fs, p = file_system(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n.removeprefix("period=")) for n in names if n.startswith("period="))
+
+
+def _read(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    fs, p = file_system(spark, f"{path}/{name}")
+    return spark.read.schema(schema).parquet(f"{path}/{name}") if fs.exists(p) else spark.createDataFrame([], schema)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """``s, p, o, t_from, t_to`` of a stored history: every stretch folded forward from its full version."""
+    fulls = _folders(spark, f"{path}/full")
+    stretch = F.coalesce(F.array_max(F.filter(F.array(*map(F.lit, fulls)), lambda x: x <= F.col("period"))), F.lit(-(2**31))) if fulls else F.lit(-(2**31))
+    by = lambda df: df.withColumn("stretch", stretch)
+    d = _gathered(by(_read(spark, path, "full", FULL)), by(_read(spark, path, "changes", CHANGES)), "stretch")
+    d = d.withColumn("f", fold(F.col("since"), F.col("patches")))
+    last = F.col("stretch") == F.lit(fulls[-1] if fulls else -(2**31))
+    still = F.when(last & F.col("f.since").isNotNull(), F.array(F.struct(F.col("f.since").alias("a"), F.lit(None).cast("date").alias("b"))))
+    rows = F.explode(F.concat("f.done", F.coalesce(still, F.array().cast("array<struct<a:date,b:date>>"))))
+    return d.select(*FACT, rows.alias("v")).select(*FACT, F.col("v.a").alias("t_from"), F.col("v.b").alias("t_to"))
 
 
 def read_version(spark: SparkSession, path: str, day: str, every: int = EVERY) -> DataFrame:
     """``s, p, o, t_from``: the facts that hold at the end of a day, from the full version before it and the patches since."""
-    d = F.to_date(F.lit(day))
-    period = (date.fromisoformat(day) - date(1970, 1, 1)).days // every
-    changes = spark.read.parquet(f"{path}/changes").where(F.col("period") <= period)
-    try:
-        full = spark.read.parquet(f"{path}/full").where(F.col("period") <= period)
-        base = full.agg(F.max("period")).first()[0]
-    except AnalysisException:  # none was due
-        base = None
-    if base is None:
-        return version_at(changes, day, every)
-    since = changes.where(F.col("period") >= base)
-    w = Window.partitionBy(*FACT).orderBy(F.desc("period"))
-    near = since.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn").withColumn("patches", F.filter("patches", lambda x: x["t"] <= d))
-    changed = fold(near).where(F.col("t_to").isNull()).select(*FACT, "t_from")
-    kept = full.where(F.col("period") == base).select(*FACT, F.col("since").alias("t_from")).join(near.select(*FACT), list(FACT), "left_anti")
-    return kept.unionByName(changed)
+    period = period_of(date.fromisoformat(day), every)
+    base = max((x for x in _folders(spark, f"{path}/full") if x <= period), default=None)
+    changes = _read(spark, path, "changes", CHANGES).where((F.col("period") <= period) & (F.col("period") >= (base if base is not None else -(2**31))))
+    upto = changes.withColumn("patches", F.filter("patches", lambda x: x["t"] <= F.to_date(F.lit(day))))
+    full = _read(spark, path, "full", FULL).where(F.col("period") == base) if base is not None else spark.createDataFrame([], FULL)
+    return advanced(full, upto).select(*FACT, F.col("since").alias("t_from"))
+
+
+def stored_history(log: DataFrame, every: int = EVERY, full_every: int = FULL_EVERY) -> DataFrame:
+    """``history`` by way of a store in the shared folder; the rows don't depend on ``every`` and ``full_every`` (both at least 1)."""
+    path = shared_dir(log.sparkSession, "history")
+    write_store(log, path, every, full_every)
+    return read_history(log.sparkSession, path)
+
+
+def stored_version(log: DataFrame, day: str, every: int = EVERY, full_every: int = FULL_EVERY) -> DataFrame:
+    """The facts that hold at the end of a day, by way of such a store."""
+    path = shared_dir(log.sparkSession, "history")
+    write_store(log, path, every, full_every)
+    return read_version(log.sparkSession, path, day, every)

@@ -54,13 +54,13 @@ def p3_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    h = H.history(table(spark, d, "change_log"))
+    h = H.stored_history(table(spark, d, "change_log"))
     day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit(""))
     return h.select("s", "p", "o", day("t_from").alias("t_from"), day("t_to").alias("t_to"))
 
 
 def p4_version(spark: SparkSession, d: str) -> DataFrame:
-    return H.version_at(H.build_store(table(spark, d, "change_log")), "2022-12-31")
+    return H.stored_version(table(spark, d, "change_log"), "2022-12-31")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_quads, p1_faults_by_file, p1_rate_by_file, p3_found, p3_predicates, p3_pages, p4_found, p4_version)}

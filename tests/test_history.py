@@ -42,39 +42,46 @@ def some_log(seed, n=600, days=90):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("every", [1, 7, 182, 100_000])
-def test_same_as_replay(spark, seed, every):
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("every,full_every", [(10, 2), (182, 4)])
+def test_same_as_replay(spark, seed, every, full_every):
     rows = some_log(seed)
-    got = [tuple(r) for r in H.history(spark.createDataFrame(rows, SCHEMA), every).collect()]
-    assert len(got) == len(set(got)) and set(got) == replay(rows)
+    log = spark.createDataFrame(rows, SCHEMA)
+    for df in (H.history(log), H.stored_history(log, every, full_every)):
+        got = [tuple(r) for r in df.collect()]
+        assert len(got) == len(set(got)) and set(got) == replay(rows)
 
 
 @pytest.mark.parametrize("full_every", [1, 3, 100])
-def test_version_from_nearest_checkpoint(spark, tmp_path, full_every):
+def test_version_from_nearest_full_version(spark, tmp_path, full_every):
     rows = some_log(4)
-    log = spark.createDataFrame(rows, SCHEMA)
     path = str(tmp_path / "store")
-    H.write_store(log, path, 10, full_every)
-    store = spark.read.parquet(f"{path}/changes")
+    H.write_store(spark.createDataFrame(rows, SCHEMA), path, 10, full_every)
+    periods = H._folders(spark, f"{path}/changes")
+    assert H._folders(spark, f"{path}/full") == periods[full_every::full_every]
     for n in (-1, 0, 9, 10, 45, 89, 500):
         day = D(n)
         want = {(s, p, o, a) for s, p, o, a, b in replay(rows) if a <= day and (b is None or b > day)}
-        assert {tuple(r) for r in H.version_at(store, day.isoformat(), 10).collect()} == want
-        assert sorted(tuple(r) for r in H.read_version(spark, path, day.isoformat(), 10).collect()) == sorted(want)
-    assert {tuple(r) for r in H.fold(store).select("s", "p", "o", "t_from", "t_to").collect()} == replay(rows)
+        got = H.read_version(spark, path, day.isoformat(), 10)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+        text = got._jdf.queryExecution().executedPlan().toString()  # the periods to read are picked by folder
+        base = max((x for x in periods[full_every::full_every] if x <= H.period_of(day, 10)), default=-(2**31))
+        assert f"<= {H.period_of(day, 10)})" in text and f">= {base})" in text
+    assert {tuple(r) for r in H.read_history(spark, path).collect()} == replay(rows)
 
 
-def test_patches_and_checkpoints_are_bounded(spark):
+def test_patches_are_bounded(spark, tmp_path):
     rows = [(i, "INSERT" if i % 2 else "DELETE", "hot", "p", "o", D(i % 400)) for i in range(20000)]
-    store = H.build_store(spark.createDataFrame(rows, SCHEMA), 30).collect()
+    H.write_store(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "s"), 30, 2)
+    store = spark.read.parquet(str(tmp_path / "s/changes")).collect()
     assert all(len(r.patches) <= 30 for r in store) and sum(len(r.patches) for r in store) == 400
 
 
 def test_ties_nulls_and_empty(spark):
     rows = [(5, "DELETE", "a", "p", "x", D(1)), (5, "INSERT", "a", "p", "x", D(1)), (None, "DELETE", "a", "p", "x", D(1)), (1, "DELETE", "b", "p", "", D(1))]
-    got = {tuple(r) for r in H.history(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {("a", "p", "x", D(1), None)}
-    assert H.history(spark.createDataFrame([], SCHEMA)).collect() == []
+    for f in (H.history, H.stored_history):
+        assert {tuple(r) for r in f(spark.createDataFrame(rows, SCHEMA)).collect()} == {("a", "p", "x", D(1), None)}
+        assert f(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert H.stored_version(spark.createDataFrame([], SCHEMA), "2022-01-01").collect() == []
     more = spark.createDataFrame([(*r, "INSERT", 1) for r in rows], SCHEMA + ", period string, since int")
-    assert H.history(more).count() == 1
+    assert H.history(more).count() == 1 and H.stored_history(more).count() == 1
