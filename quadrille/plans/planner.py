@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.plans.sparql import Const, Pattern, Var
@@ -35,27 +36,47 @@ class Statistics:
         return n
 
 
+def constants(p: Pattern) -> tuple[str | None, ...]:
+    return tuple(x.text if isinstance(x, Const) else None for x in (p.s, p.p, p.o))
+
+
+def _matches(key: tuple[str | None, ...], cols: str) -> Column:
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & (F.col(c) == key["spo".index(c)])
+    return cond
+
+
 def look_up(patterns: list[Pattern], by_p: DataFrame, by_sp: DataFrame, by_op: DataFrame) -> Statistics:
-    """Statistics for the constants of some patterns out of the three count tables (one small job each, filters pushed to the scan)."""
+    """Statistics for the constants of some patterns out of the three count tables: one job, whose filters reach the scans."""
     st = Statistics()
-    keys = {tuple(x.text if isinstance(x, Const) else None for x in (p.s, p.p, p.o)) for p in patterns}
-    asked: list[tuple[DataFrame, list[str], set]] = [
-        (by_p, ["p"], {k for k in keys if k[1] is not None and k[0] is None and k[2] is None}),
-        (by_sp, ["s", "p"], {k for k in keys if None not in k[:2] and k[2] is None}),
-        (by_op, ["o", "p"], {k for k in keys if None not in k[1:] and k[0] is None}),
+    keys = {constants(p) for p in patterns}
+    asked = [
+        (by_p, "p", {k for k in keys if k[1] is not None and k[0] is None and k[2] is None}),
+        (by_sp, "sp", {k for k in keys if None not in k[:2] and k[2] is None}),
+        (by_op, "po", {k for k in keys if None not in k[1:] and k[0] is None}),
     ]
+    parts = []
     for df, cols, ks in asked:
         if ks:
-            pick = [("spo".index(c), c) for c in cols]
-            cond = F.lit(False)
-            for k in ks:
-                one = F.lit(True)
-                for i, c in pick:
-                    one = one & (F.col(c) == k[i])
-                cond = cond | one
             st.counts |= dict.fromkeys(ks, 0)
-            for r in df.where(cond).collect():
-                st.counts[tuple(r[c] if c in cols else None for c in "spo")] = r["n"]
+            cond = reduce(Column.__or__, [_matches(k, cols) for k in sorted(ks, key=str)])
+            parts.append(df.where(cond).select(*[F.col(c).alias(c) if c in cols else F.lit(None).cast("string").alias(c) for c in "spo"], "n"))
+    none = [F.lit(None).cast("string").alias(c) for c in "spo"]
+    parts.append(by_p.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(*none, "n"))
+    st.counts |= {(r["s"], r["p"], r["o"]): r["n"] for r in reduce(DataFrame.unionAll, parts).collect()}  # a row for each key asked for
+    st.total = max(st.counts[None, None, None], 1)
+    return st
+
+
+def counted(patterns: list[Pattern], facts: DataFrame) -> Statistics:
+    """The same for facts without count tables: one scan, whatever the number of patterns."""
+    st = Statistics()
+    keys = sorted({constants(p) for p in patterns if any(k is not None for k in constants(p))}, key=str)
+    if keys:
+        conds = [_matches(k, "".join(c for c, x in zip("spo", k) if x is not None)) for k in keys]
+        sums = [F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(f"n{i}") for i, c in enumerate(conds)]
+        st.counts = dict(zip(keys, facts.where(reduce(Column.__or__, conds)).agg(*sums).first()))
     return st
 
 

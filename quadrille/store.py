@@ -2,6 +2,7 @@
 
 A store is a description of DataFrames, not data: ``insert_only`` logs are queried straight from the
 scan (a fact holds at a day if it was stated up to it), logs with deletes through validity periods.
+Stores on disk are extended in place; see ``quadrille.sources.saved``.
 """
 
 from __future__ import annotations
@@ -12,18 +13,15 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.functions.shared import partitions, present
+from quadrille.functions.shared import present, written
 from quadrille.operators import history as H
 from quadrille.operators import statistics as S
 from quadrille.operators import update as U
 from quadrille.plans import execute, planner
 from quadrille.plans.sparql import Const, Pattern, Select, Times, Update, parse
+from quadrille.sources import saved
 
-LOG = "op string, s string, p string, o string, t date, seq long"
-PERIODS = "s string, p string, o string, t_from date, t_to date"
-COUNTS = {"p": ("p",), "sp": ("s", "p"), "op": ("o", "p")}
-#: Up to so many predicates have folders of their own; with more, files are only sorted.
-FOLDERS = 5000
+FACT = ("s", "p", "o")
 
 
 @dataclass(frozen=True)
@@ -35,7 +33,7 @@ class Store:
     log: DataFrame | None = None
     periods: DataFrame | None = None
     planned: bool = False  # look up counts before ordering patterns
-    stored: str | None = None  # where count tables lie that fit this very state
+    stored: saved.Saved | None = None  # the store on disk that has count tables for this very state
 
     # making stores
 
@@ -52,9 +50,9 @@ class Store:
 
     @staticmethod
     def open(spark: SparkSession, path: str, planned: bool = True) -> Store:
-        """A store that ``save`` has written."""
-        read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-        return Store(spark, log=read("log", LOG), periods=read("periods", PERIODS), planned=planned, stored=path)
+        """The latest version of a store that ``save`` has written; later extensions don't change what was opened."""
+        d = saved.Saved(spark, path)
+        return Store(spark, log=d.log(), periods=d.periods(), planned=planned, stored=d)
 
     # what holds when
 
@@ -100,17 +98,39 @@ class Store:
         return self.answer(q, mode)
 
     def answer(self, q: Select, mode: str = "end") -> DataFrame:
+        """The answer of a parsed query; with ``planned``, all its patterns are looked up first, whatever group they are in."""
         state = self.at(q.times, mode)
-        st = None
-        if self.planned:
-            st = planner.look_up(q.where.patterns, *(self.counts(name) for name in COUNTS))
+        st = self.estimates(q.where.all_patterns()) if self.planned else None
         return execute.run(state, q, st)
 
     def counts(self, name: str) -> DataFrame:
         """Current facts by ``p``, ``sp`` or ``op``, read if they were saved."""
         if self.stored:
-            return self.spark.read.parquet(f"{self.stored}/counts/{name}")
-        return S.counts(self.current().facts, COUNTS[name])
+            return self.stored.counts(name)
+        return S.counts(self.facts(), saved.COUNTS[name])
+
+    def facts(self) -> DataFrame:
+        """The facts that hold now, each once."""
+        s = self.current()
+        return s.facts if s.is_set else s.facts.distinct()
+
+    def estimates(self, patterns: list[Pattern]) -> planner.Statistics:
+        """How many current facts match the constants of patterns, in one small job: from the count tables of a saved store, else from one scan."""
+        if self.stored:
+            return planner.look_up(patterns, *(self.counts(name) for name in saved.COUNTS))
+        return planner.counted(patterns, self.facts())
+
+    def cardinality(self, s: str | None = None, p: str | None = None, o: str | None = None) -> int:
+        """How many facts that hold now have the given terms; all of them if none is given."""
+        key = (s, p, o)
+        pattern = Pattern(*(Const(x) if x is not None else planner.Var(n) for x, n in zip(key, FACT)))
+        got = self.estimates([pattern]).counts.get(key)
+        if got is None:
+            cond = F.lit(True)
+            for c, x in zip(FACT, key):
+                cond = cond & (F.col(c) == x) if x is not None else cond
+            got = self.facts().where(cond).count()
+        return got
 
     def changes(self, text: str, day: dt.date | None = None, seq: int = 0) -> DataFrame:
         """The log rows an update amounts to; ``day`` is today if not given."""
@@ -131,41 +151,44 @@ class Store:
         return self.append(rows)
 
     def append(self, rows: DataFrame) -> Store:
-        """The store with log rows added."""
-        log = self.log
-        if log is None:
-            log = self.quads.select(F.lit("INSERT").alias("op"), "s", "p", "o", "t", F.lit(0).cast("long").alias("seq"))
-        log = log.unionByName(rows.select("op", "s", "p", "o", "t", "seq"))
-        return replace(self, quads=None, log=log, periods=H.history(log), stored=None)
+        """The store with log rows added.
+
+        Only the facts the rows name get a new history, out of their own part of the log; the periods
+        of all others stay as they are. The rows are written once, so their size is known: where they
+        are few, facts that aren't touched aren't moved either.
+        """
+        rows = written(rows.select("op", "s", "p", "o", F.col("t").cast("date").alias("t"), F.col("seq").cast("long").alias("seq")), "changes")
+        touched = rows.select(*FACT).distinct()
+        if self.log is None:
+            old = self.quads.select(F.lit("INSERT").alias("op"), "s", "p", "o", "t", F.lit(0).cast("long").alias("seq"))
+        else:
+            old = self.log
+        kept = self.validity().join(touched, list(FACT), "left_anti")
+        new = H.history(old.join(touched, list(FACT), "left_semi").unionByName(rows))
+        return replace(self, quads=None, log=old.unionByName(rows), periods=kept.unionByName(new), stored=None)
 
     def insert(self, triples: DataFrame, day: dt.date | None = None, seq: int = 1 << 40) -> Store:
         """Triples that hold from a day on, today if not given; stating a fact that holds changes nothing."""
-        d = triples.select(F.lit("INSERT").alias("op"), "s", "p", "o", F.lit(day or dt.date.today()).alias("t"), F.lit(seq).cast("long").alias("seq"))
-        return self.append(present(d, "s", "p", "o").dropDuplicates(["s", "p", "o"]))
+        return self.append(inserts(triples, day, seq))
 
     # storage
 
     def save(self, path: str, mode: str = "errorifexists") -> None:
-        """Log, periods and counts as Parquet, in folders by predicate, sorted so that a subject is found by row-group statistics.
-
-        A heavy predicate is cut across files by range of subjects; a rare one has one file. With more
-        than ``FOLDERS`` predicates there are no folders, and predicates too are found by statistics.
-        """
-        log = self.log if self.log is not None else self.append(self.spark.createDataFrame([], LOG)).log
-        few = log.agg(F.approx_count_distinct("p")).first()[0] <= FOLDERS
-        for name, df, order in (("log", log, ("p", "t", "seq")), ("periods", self.validity(), ("p", "s", "o"))):
-            d = df.repartitionByRange(partitions(self.spark), *order).sortWithinPartitions(*order)
-            w = d.write.mode(mode)
-            (w.partitionBy("p") if few else w).parquet(f"{path}/{name}")
-        facts = self.spark.read.schema(PERIODS).parquet(f"{path}/periods").where(F.col("t_to").isNull())
-        for name, by in COUNTS.items():
-            S.counts(facts, by).repartitionByRange(*by).sortWithinPartitions(*by).write.mode(mode).parquet(f"{path}/counts/{name}")
+        """Log, periods and counts as Parquet; see ``saved.create``."""
+        log = self.log
+        if log is None:
+            log = self.quads.select(F.lit("INSERT").alias("op"), "s", "p", "o", "t", F.lit(0).cast("long").alias("seq"))
+        saved.create(self.spark, path, log, self.validity(), mode)
 
     def statistics(self, *by: str) -> DataFrame:
         """Facts that hold now, counted by some of s, p, o."""
-        s = self.current()
-        return S.counts(s.facts if s.is_set else s.facts.distinct(), by)
+        return S.counts(self.facts(), by)
 
     def triple_count(self) -> int:
-        s = self.current()
-        return (s.facts if s.is_set else s.facts.distinct()).count()
+        return self.facts().count()
+
+
+def inserts(triples: DataFrame, day: dt.date | None = None, seq: int = 1 << 40) -> DataFrame:
+    """Log rows that state triples from a day on, today if not given."""
+    d = triples.select(F.lit("INSERT").alias("op"), "s", "p", "o", F.lit(day or dt.date.today()).alias("t"), F.lit(seq).cast("long").alias("seq"))
+    return present(d, "s", "p", "o").dropDuplicates(["s", "p", "o"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quadrille.sources.quad_lines import parse_quads
-from quadrille.store import LOG
+from quadrille.sources.saved import LOG, Saved
 
 
 def read_log(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -21,9 +21,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return parse_quads(lines, keep=())
 
 
-def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Adds a stream of log rows to a store's log by predicate, exactly once: the file sink commits each batch with the checkpoint."""
-    return stream.writeStream.format("parquet").partitionBy("p").option("path", f"{path}/log").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def append(stream: DataFrame, path: str, checkpoint: str, name: str = "log") -> StreamingQuery:
+    """Adds a stream of log rows to a saved store, what it held before and its periods and counts included.
+
+    Each batch extends the store by one version, which also notes the batch's number under the
+    stream's ``name``; a batch that is delivered again after a failure is recognised and adds nothing.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        Saved(batch.sparkSession, path).extend(batch, (name, number))
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def deduplicated(stream: DataFrame, late: str = "30 days") -> DataFrame:

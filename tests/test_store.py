@@ -6,10 +6,12 @@ import random
 
 import pytest
 
+from quadrille.functions.shared import shared_dir
 from quadrille.operators import statistics as S
 from quadrille.plans.execute import UnsupportedQuery
 from quadrille.plans.planner import Statistics, order
 from quadrille.plans.sparql import parse
+from quadrille.sources import saved
 from quadrille.store import Store
 
 D = dt.date
@@ -159,7 +161,7 @@ def test_insert_twice_changes_nothing(spark, store):
 
 @pytest.mark.parametrize("folders", [0, 5000])
 def test_save_and_open(spark, changing, tmp_path, monkeypatch, folders):
-    monkeypatch.setattr("quadrille.store.FOLDERS", folders)
+    monkeypatch.setattr("quadrille.sources.saved.FOLDERS", folders)
     changing.update("INSERT DATA { <a> <12> <b> }", D(2022, 5, 1)).save(str(tmp_path / "s"))
     s = Store.open(spark, str(tmp_path / "s"))
     assert ask(s, "SELECT ?o { <a> <p> ?o . filter (t = 2022-02-10) }") == {("b",), ("c",)}
@@ -170,6 +172,83 @@ def test_save_and_open(spark, changing, tmp_path, monkeypatch, folders):
     assert ("= p" in filters) == (folders > 0)
     again = s.update("DELETE { <a> ?p ?o }", D(2022, 6, 1))
     assert again.stored is None and ask(again, "SELECT ?p { ?s ?p ?o }") == set()
+    with pytest.raises(FileExistsError):
+        s.save(str(tmp_path / "s"))
+    s.update("DELETE { <a> <p> ?o }", D(2022, 6, 1)).save(str(tmp_path / "s"), "overwrite")
+    assert ask(Store.open(spark, str(tmp_path / "s")), "SELECT ?p { ?s ?p ?o }") == {("12",)}
+    assert ask(s, "SELECT ?p { ?s ?p ?o }") == {("p",), ("12",)}  # what was opened stays
+
+
+def random_log(rng, n, days=28):
+    return [(rng.choice(["INSERT", "DELETE", "insert ", None]), rng.choice(["a", "b", None]), rng.choice(["p", "q", "r"]), rng.choice("xyz"), rng.choice([None, *[D(2022, 1, 1 + rng.randrange(days))] * 9]), i) for i in range(n)]
+
+
+@pytest.mark.parametrize("folders,parts", [(0, 16), (5000, 2)])
+def test_extended_like_made_anew(spark, tmp_path, monkeypatch, folders, parts):
+    """Extensions, with late changes among them, give the store that the whole log gives, counts too."""
+    monkeypatch.setattr("quadrille.sources.saved.FOLDERS", folders)
+    monkeypatch.setattr("quadrille.sources.saved.MOST_PARTS", parts)
+    schema = "op string, s string, p string, o string, t date, seq long"
+    rows, path = random_log(random.Random(5), 120), str(tmp_path / "s")
+    Store.of_log(spark.createDataFrame(rows[:60], schema)).save(path)
+    first = Store.open(spark, path)
+    for a, b in ((60, 63), (63, 63), (63, 120)):
+        saved.Saved(spark, path).extend(spark.createDataFrame(rows[a:b], schema))
+    s, want = Store.open(spark, path), Store.of_log(spark.createDataFrame(rows, schema))
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    for t in (s, Store(spark, log=s.log, periods=saved.Saved(spark, path).compacted().periods())):
+        assert same(t.log, want.log) and same(t.periods, want.periods)
+    for name in saved.COUNTS:
+        assert same(s.counts(name), want.counts(name).select(s.counts(name).columns))
+        assert same(Store.open(spark, path).counts(name), s.counts(name))
+    assert same(first.log, spark.createDataFrame(rows[:60], schema)) and s.stored.last_seq == 119
+
+
+def test_one_writer_has_a_version(spark, changing, tmp_path):
+    path = str(tmp_path / "s")
+    changing.save(path)
+    a, b = saved.Saved(spark, path), saved.Saved(spark, path)
+    rows = spark.createDataFrame([("INSERT", "z", "p", "b", D(2022, 1, 10), 9)], "op string, s string, p string, o string, t date, seq long")
+    a.extend(rows, ("feed", 0))
+    with pytest.raises(saved.Conflict):
+        b.extend(rows)
+    again = saved.Saved(spark, path)
+    assert again.extend(rows, ("feed", 0)).version == again.version == 1
+    assert Store.open(spark, path).log.count() == 4
+
+
+def test_stream_into_a_store_that_has_rows(spark, changing, tmp_path):
+    from quadrille.streaming import log_stream
+
+    path, feed = str(tmp_path / "s"), str(tmp_path / "feed")
+    changing.save(path)
+    for day, op, seq in ((4, "DELETE", 7), (5, "INSERT", 8)):
+        spark.createDataFrame([(op, "a", "p", "c", D(2022, day, 10), seq)], "op string, s string, p string, o string, t date, seq long").write.mode("append").parquet(feed)
+        log_stream.append(log_stream.read_log(spark, feed), path, str(tmp_path / "ck")).awaitTermination()
+    s = Store.open(spark, path)
+    assert s.log.count() == 5
+    at = lambda day: {o for (o,) in ask(s, f"SELECT ?o {{ <a> <p> ?o . filter (t = {day}) }}")}
+    assert [at(f"2022-0{m}-10") for m in (2, 3, 4, 5)] == [{"b", "c"}, {"c"}, set(), {"c"}]
+    assert s.counts("sp").collect()[0].n == 1
+
+
+def test_facts_that_are_not_touched_are_not_moved(spark, sf):
+    """The periods of a store with few new rows are read past a broadcast of these, without an exchange."""
+    s = Store.of_log(spark.read.parquet(f"{sf}/change_log.parquet"))
+    path = shared_dir(spark, "store")
+    s.save(path)
+    s = Store.open(spark, path).update('INSERT DATA { <a> <ub:rank> "b" }', D(2030, 1, 1))
+    text = plan(s.periods)
+    kept = text.split("LeftAnti")[1].split("Union")[0].split("Sort")[0]
+    assert "BroadcastHashJoin" in text.split("LeftAnti")[0].rsplit("\n", 1)[-1]
+    assert "Exchange hashpartitioning" not in kept.split("BroadcastExchange")[0]
+
+
+def test_cardinality(spark, store, changing, tmp_path):
+    changing.save(str(tmp_path / "s"))
+    stored = Store.open(spark, str(tmp_path / "s"))
+    assert [store.cardinality(), store.cardinality(p="worksFor"), store.cardinality("alice", "worksFor"), store.cardinality(p="partOf", o="uni1"), store.cardinality(s="alice"), store.cardinality(p="no")] == [8, 3, 1, 2, 3, 0]
+    assert [stored.cardinality(), stored.cardinality("a", "p"), stored.cardinality(p="p", o="c"), stored.cardinality(s="a"), stored.cardinality("a", "p", "b")] == [1, 1, 1, 1, 0]
 
 
 def test_snapshot_positions(spark, store):
@@ -211,18 +290,32 @@ def test_edge_replaced(changing):
     assert ask(changing.update_edge(("a", "p", "no"), ("a", "p", "new"), D(2022, 6, 1)), "SELECT ?o { <a> <p> ?o }") == {("c",)}
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import io
+
     from quadrille.__main__ import main
 
     at = lambda x: str(tmp_path / x)
     (tmp_path / "build.nt").write_text("<a> <p> <b> <2022-01-01> .\n<a> <p> .\n")
-    (tmp_path / "more.nt").write_text("<a> <p> <c> .\n<a> <p> <b> .\n")
+    (tmp_path / "more.nt").write_text("<a> <p> <c> .\n<a> <p> <b> .\n<a> <p .\n" + "".join(f"<a> <q> <c{i}> .\n" for i in range(30)))
     (tmp_path / "q").write_text("# a comment\nSELECT ?x\n{ <a> <p> ?x }")
-    main(["build", at("build.nt"), at("s1")], spark)
-    assert spark.read.parquet(at("s1/faulty")).count() == 1
-    main(["insert", at("more.nt"), at("s1"), at("s2"), "--day", "2022-05-01"], spark)
-    main(["query", at("s2"), at("q"), "--repeat", "2"], spark)
-    assert capsys.readouterr().out.count("2 rows") == 2
-    main(["predicates", at("s2")], spark)
-    assert "|p" in capsys.readouterr().out
-    assert ask(Store.open(spark, at("s2")), "SELECT ?x { <a> <p> ?x . filter (t = 2022-04-30) }") == {("b",)}
+    (tmp_path / "all").write_text("SELECT ?x { <a> <q> ?x }")
+    main(["build", at("build.nt"), at("s")], spark)
+    main(["insert", at("more.nt"), at("s"), "--day", "2022-05-01"], spark)
+    assert {(r.line, r.reason) for r in spark.read.parquet(at("s-faulty")).collect()} == {("<a> <p> .", "missing object"), ("<a> <p .", "bad or missing predicate")}
+    main(["query", at("s"), at("q"), "--repeat", "2"], spark)
+    assert "2 rows" in capsys.readouterr().out
+    main(["query", at("s"), at("all")], spark)
+    assert capsys.readouterr().out.count("\nc") == 30  # the whole answer
+    main(["query", at("s"), at("all"), "--out", at("o")], spark)
+    assert spark.read.parquet(at("o/0-all")).count() == 30
+    monkeypatch.setattr("sys.stdin", io.StringIO("SELECT ?x { <a> <p> ?x }\n\nnonsense\n\nDELETE { <a> <q> ?x }\n\nSELECT ?x { <a> ?y ?x }\n"))
+    main(["shell", at("s")], spark)
+    out = capsys.readouterr().out
+    assert out.count("2 rows") == 2 and "error" in out and "version 2" in out
+    main(["predicates", at("s")], spark)
+    assert capsys.readouterr().out.split() == ["p", "n", "p", "2"]
+    for verb in ("compact", "pages", "triples"):
+        main([verb, at("s")], spark)
+    assert '<a> <p> "b" .' in capsys.readouterr().out
+    assert ask(Store.open(spark, at("s")), "SELECT ?x { <a> <p> ?x . filter (t = 2022-04-30) }") == {("b",)}
