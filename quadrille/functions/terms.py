@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,10 +88,10 @@ def hashed_id(c: Column) -> Column:
     return F.xxhash64(c)
 
 
-def collisions(terms: DataFrame, column: str = "term") -> DataFrame:
-    """``id, n``: hashed ids that more than one term has. Almost surely none below a billion terms."""
+def collisions(terms: DataFrame, column: str = "term", hashed: Callable[[Column], Column] = hashed_id) -> DataFrame:
+    """``id, n``: hashed ids that more than one term has. With 64 bits almost surely none below a billion terms."""
     d = terms.select(F.col(column).alias("term")).where(F.col("term").isNotNull()).distinct()
-    return d.groupBy(hashed_id(F.col("term")).alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+    return d.groupBy(hashed(F.col("term")).alias("id")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def encode(quads: DataFrame, nodes: DataFrame, predicates: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,13 +77,55 @@ def _exists(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.withColumn("__there", F.lit(1)).join(F.broadcast(one), "__there", "left_semi").drop("__there")
 
 
+def _cases(r: Rows, shared: list[str]) -> list[tuple[set[str], DataFrame]]:
+    """The rows by which of their shared variables are bound: one case where all always are."""
+    unsure = [v for v in shared if v not in r.sure]
+    out = []
+    for n in range(1 << len(unsure)):
+        free = [v for i, v in enumerate(unsure) if n >> i & 1]
+        df = r.df
+        for v in unsure:
+            df = df.where(F.col(v).isNull() if v in free else F.col(v).isNotNull())
+        out.append((set(shared) - set(free), df))
+    return out
+
+
 def join(a: Rows, b: Rows) -> Rows:
+    """The compatible pairs: variables that both sides bind are equal, what one side binds is taken from it."""
     shared = [v for v in a.vars if v in b.vars]
     if not shared:
         return Rows(a.df.crossJoin(b.df), a.sure | b.sure)  # the product that unconnected patterns mean
-    if not set(shared) <= a.sure & b.sure:
-        raise UnsupportedQuery(f"joined on variables that may be unbound: {', '.join(shared)}")
-    return Rows(a.df.join(b.df, shared), a.sure | b.sure)
+    if set(shared) <= a.sure & b.sure:
+        return Rows(a.df.join(b.df, shared), a.sure | b.sure)
+    parts = []
+    for bound_a, x in _cases(a, shared):
+        for bound_b, y in _cases(b, shared):
+            keys = [v for v in shared if v in bound_a & bound_b]
+            x_ = x.drop(*[v for v in shared if v not in bound_a])
+            y_ = y.drop(*[v for v in shared if v not in keys and (v in bound_a or v not in bound_b)])
+            parts.append(x_.join(y_, keys) if keys else x_.crossJoin(y_))
+    names = [*a.vars, *(v for v in b.vars if v not in a.vars)]
+    kinds = {**dict(b.df.dtypes), **dict(a.df.dtypes)}
+    whole = [p.select(*[F.col(v) if v in p.columns else F.lit(None).cast(kinds[v]).alias(v) for v in names]) for p in parts]
+    return Rows(reduce(DataFrame.unionAll, whole), a.sure | b.sure)
+
+
+def optional(a: Rows, b: Rows) -> Rows:
+    """The compatible pairs, and the rows of ``a`` that have none."""
+    shared = [v for v in a.vars if v in b.vars]
+    if shared and set(shared) <= a.sure & b.sure:
+        return Rows(a.df.join(b.df, shared, "left"), a.sure)
+    alone = []
+    for bound_a, x in _cases(a, shared):
+        for bound_b, y in _cases(b, shared):
+            keys = [v for v in shared if v in bound_a & bound_b]
+            if keys:
+                x = x.join(y, keys, "left_anti")
+            else:  # any row of y fits all of x
+                some = F.broadcast(y.select(F.lit(1).alias("__there")).limit(1))
+                x = x.withColumn("__there", F.lit(1)).join(some, "__there", "left_anti").drop("__there")
+        alone.append(x)
+    return Rows(join(a, b).df.unionByName(reduce(DataFrame.unionAll, alone), allowMissingColumns=True), a.sure)
 
 
 def basic(state: State, patterns: list[Pattern], needed: set[str], bag: bool, st=None) -> Rows | None:
@@ -112,8 +155,9 @@ def basic(state: State, patterns: list[Pattern], needed: set[str], bag: bool, st
 
 
 def keep(state: State, rows: Rows, f: Filter) -> Rows:
-    if f.var not in rows.vars:
-        raise UnsupportedQuery(f"filter on a variable that isn't bound: {f.var}")
+    """The rows a filter accepts: none if a variable of it isn't bound in the group."""
+    if {f.var, getattr(getattr(f, "other", None), "name", f.var)} - set(rows.vars):
+        return Rows(rows.df.where(F.lit(False)), rows.sure)
     if isinstance(f, Reaches):
         near = reaching(state.facts, f.target, f.via).select(F.col("node").alias(f.var))
         return Rows(rows.df.join(near, f.var, "left_semi"), rows.sure)
@@ -122,8 +166,6 @@ def keep(state: State, rows: Rows, f: Filter) -> Rows:
         return Rows(rows.df.where(c.isin(*f.values) if f.inside else ~c.isin(*f.values)), rows.sure)
     assert isinstance(f, Compare)
     if isinstance(f.other, Var):
-        if f.other.name not in rows.vars:
-            raise UnsupportedQuery(f"filter on a variable that isn't bound: {f.other.name}")
         other = F.col(f.other.name)
     else:
         other = F.lit(f.other.text)
@@ -147,11 +189,7 @@ def evaluate(state: State, g: Group, needed: set[str], bag: bool = False, st=Non
     if acc is None:
         raise UnsupportedQuery("a group needs a pattern outside OPTIONAL")
     for h in g.optional:
-        right = evaluate(state, h, want, bag, st)
-        shared = [v for v in acc.vars if v in right.vars]
-        if not shared or not set(shared) <= acc.sure & right.sure:
-            raise UnsupportedQuery("OPTIONAL needs shared variables that are always bound")
-        acc = Rows(acc.df.join(right.df, shared, "left"), acc.sure)
+        acc = optional(acc, evaluate(state, h, want, bag, st))
     for f in g.filters:
         acc = keep(state, acc, f)
     return acc

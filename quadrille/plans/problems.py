@@ -65,11 +65,38 @@ def p4_version(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_quads, p1_faults_by_file, p1_rate_by_file, p3_found, p3_predicates, p3_pages, p4_found, p4_version)}
 
-_GOOD = L.LINE.replace("'", "''")
+# A line by its description, with string functions: it is read from both ends. Its tail is the dot, the
+# day and the blanks between, its head subject and predicate, and what lies between is the object.
+_TRIMMED = "CASE WHEN line LIKE '%' || chr(13) THEN left(line, length(line) - 1) ELSE line END"
+_BLANKS = "chr(32) || chr(9)"
+_IRI = lambda x: f"length({x}) > 2 AND left({x}, 1) = '<' AND right({x}, 1) = '>' AND translate(substr({x}, 2, length({x}) - 2), ' <>\"' || chr(9), '') = substr({x}, 2, length({x}) - 2)"
 _LINES = f"""
-SELECT line_id, file_name, line, says, coalesce(fits AND try_cast(regexp_extract(line, '{_GOOD}', 5) AS DATE) IS NOT NULL, false) AS good
-FROM (SELECT *, regexp_matches(line, '{_GOOD}') AS fits,
-             trim(line, chr(32) || chr(9) || chr(10) || chr(13)) <> '' AND NOT starts_with(line, '#') AS says FROM quad_lines)
+SELECT *, coalesce({_IRI('s_')} AND {_IRI('p_')} AND day IS NOT NULL AND parted AND (({_IRI('o_')}) OR literal IS NOT NULL), false) AS good
+FROM (
+  SELECT *, rtrim(ltrim(rest, {_BLANKS}), {_BLANKS}) AS o_, right(rest, 1) IN (' ', chr(9)) AND left(rest, 1) IN (' ', chr(9)) AS parted,
+         -- a literal: its closing quote is the last one, an even number of backslashes stands before each end, and only a tag follows
+         CASE WHEN starts_with(body, '"') AND tail_of IN ('', 'tag') AND length(inner_) > 0
+               AND NOT contains(replace(replace(inner_, '\\\\', ''), '\\"', ''), '"') AND NOT ends_with(replace(inner_, '\\\\', ''), '\\') THEN inner_ END AS literal
+  FROM (
+    SELECT *, substr(body, 2, length(body) - 1 - coalesce(strpos(reverse(body), '"'), 0)) AS inner_,
+           CASE WHEN after = '' THEN '' WHEN starts_with(after, '@') AND len(list_filter(string_split(substr(after, 2), '-'), lambda x: translate(lower(x), 'abcdefghijklmnopqrstuvwxyz0123456789', '') <> '' OR x = '')) = 0
+                     AND translate(lower(string_split(substr(after, 2), '-')[1]), 'abcdefghijklmnopqrstuvwxyz', '') = '' THEN 'tag'
+                WHEN starts_with(after, '^^') AND {_IRI('substr(after, 3)')} THEN 'tag' ELSE 'other' END AS tail_of
+    FROM (
+      SELECT *, ltrim(rtrim(rest, {_BLANKS}), {_BLANKS}) AS body, right(rtrim(rest, {_BLANKS}), greatest(strpos(reverse(rtrim(rest, {_BLANKS})), '"') - 1, 0)) AS after
+      FROM (
+        SELECT *, CASE WHEN left(p_on, 1) IN (' ', chr(9)) AND strpos(ltrim(p_on, {_BLANKS}), '>') > 0 THEN left(ltrim(p_on, {_BLANKS}), strpos(ltrim(p_on, {_BLANKS}), '>')) END AS p_,
+               substr(ltrim(p_on, {_BLANKS}), strpos(ltrim(p_on, {_BLANKS}), '>') + 1) AS rest
+        FROM (
+          SELECT *, left(core, strpos(core, '>')) AS s_, substr(core, strpos(core, '>') + 1) AS p_on
+          FROM (
+            SELECT *, CASE WHEN length(day_) = 12 AND left(day_, 1) = '<' AND right(day_, 1) = '>' AND length(translate(substr(day_, 2, 10), '0123456789', '')) = 2 AND substr(day_, 6, 1) = '-' AND substr(day_, 9, 1) = '-'
+                           AND dotted THEN try_cast(substr(day_, 2, 10) AS DATE) END AS day, left(undotted, length(undotted) - 12) AS core
+            FROM (
+              SELECT *, right(undotted, 12) AS day_
+              FROM (
+                SELECT *, ends_with(said, '.') AS dotted, rtrim(left(said, length(said) - 1), {_BLANKS}) AS undotted
+                FROM (SELECT *, ltrim(rtrim({_TRIMMED}, {_BLANKS}), {_BLANKS}) AS said, trim(line, chr(32) || chr(9) || chr(10) || chr(13)) <> '' AND NOT starts_with(line, '#') AS says FROM quad_lines)))))))))
 """
 _PATCH = """
 SELECT s, p, o, t, arg_max(upper(trim(op)), seq) AS op FROM change_log
@@ -83,12 +110,10 @@ WHERE op IS DISTINCT FROM coalesce(was, 'DELETE') WINDOW w AS (PARTITION BY s, p
 ORACLE_SQL = {
     "p1_rate_by_file": f"SELECT file_name, count(*) AS n_lines, count(*) FILTER (NOT good) AS n_faulty FROM ({_LINES}) WHERE says GROUP BY file_name",
     "p1_found": f"SELECT line_id FROM ({_LINES}) WHERE says AND NOT good",
-    "p1_quads": f"""
-        SELECT line_id, regexp_extract(line, '{_GOOD}', 1) AS s, regexp_extract(line, '{_GOOD}', 2) AS p,
-               CASE WHEN regexp_extract(line, '{_GOOD}', 3) <> '' THEN regexp_extract(line, '{_GOOD}', 3)
-                    ELSE replace(replace(replace(replace(replace(regexp_extract(line, '{_GOOD}', 4), '\\\\', chr(1)), '\\"', '"'),
-                         '\\t', chr(9)), '\\n', chr(10)), chr(1), '\\') END AS o,
-               CAST(regexp_extract(line, '{_GOOD}', 5) AS DATE) AS t
+    "p1_quads": rf"""
+        SELECT line_id, substr(s_, 2, length(s_) - 2) AS s, substr(p_, 2, length(p_) - 2) AS p,
+               CASE WHEN literal IS NULL THEN substr(o_, 2, length(o_) - 2) ELSE array_to_string(list_transform(string_split(literal, '\\'),
+                   lambda x: regexp_replace(replace(replace(replace(x, '\t', chr(9)), '\n', chr(10)), '\r', chr(13)), '\\(.)', '\1', 'g')), '\') END AS o, day AS t
         FROM ({_LINES}) WHERE says AND good""",
     "p3_found": f"""
         SELECT 'temporal_quads' AS rel, p AS hot_key FROM temporal_quads WHERE p IS NOT NULL

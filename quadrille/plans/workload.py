@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.functions import shared
 from quadrille.functions import terms as T
-from quadrille.functions.shared import table, written
+from quadrille.functions.shared import shared_dir, table, written
 from quadrille.operators import log_pages
 from quadrille.operators import statistics as S
 from quadrille.plans import execute
-from quadrille.plans.problems import _SPELLS
-from quadrille.plans.sparql import RDF_TYPE, Const, Pattern, Var
-from quadrille.sources import mapping, text
+from quadrille.plans.problems import _LINES, _SPELLS
+from quadrille.plans.sparql import RDF_TYPE, Const, Pattern, Var, parse_file
+from quadrille.sources import campus, mapping, saved, text, turtle
 from quadrille.store import Store
 from quadrille.streaming import log_stream
 
@@ -57,11 +59,11 @@ def when(day: str | None) -> str:
     return f" filter ( t = {day} ) ." if day else ""
 
 
-def graph(name: str, query: str, sql: str | None, store=lubm, mode: str = "end") -> None:
-    """Registers a graph query and its SQL, in which {f} stands for the facts it sees."""
+def graph(name: str, query: str, sql: str | None, store=lubm, mode: str = "end", prefixes: str = PREFIXES) -> None:
+    """Registers a graph query and its SQL."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return store(spark, d).query(PREFIXES + query, mode)
+        return store(spark, d).query(prefixes + query, mode)
 
     run.__name__ = name
     QUERIES[name] = run
@@ -106,7 +108,6 @@ _scan("scan_so", "?s ?p ?o", "?s ?o", "true", "s, o")
 _scan("scan_sp", "?s ?p ?o", "?s ?p", "true", "s, p")
 _scan("scan_po", "?s ?p ?o", "?p ?o", "true", "p, o")
 _scan("scan_spo", "?s ?p ?o", "?s ?p ?o", "true", "s, p, o")
-_scan("scan_repeated_var", "?x ?p ?x", "?x ?p", "s = o", "s AS x, p")
 graph(
     "exists_spo",
     f"SELECT ?o WHERE {{ <http://registry.example/roll/main> ?any ?member . <{STUDENT}> ?p ?o . ?s rdf:type ub:University .{when(DAY)} }}",
@@ -209,35 +210,84 @@ def log_page_directory(spark, d):
 
 # shapes of joins
 
+LUBM = f"PREFIX rdf: <{campus.RDF}> PREFIX ub: <{campus.UB}> "
+CAMPUS_DAY = "2022-05-10"
+CAMPUS_DATES = [f"2022-{m:02d}-10" for m in range(1, 6)]
+#: The seven benchmark queries (fixed values).
 TEMPLATES = {
-    "bgp1_star_semijoin": (f"SELECT ?x WHERE {{{{ ?x rdf:type ub:ResearchGroup . ?x ub:subOrganizationOf <{DEPT}> .{{0}} }}}}", [("x", "rdf:type", "'ub:ResearchGroup'"), ("x", "ub:subOrganizationOf", f"'{DEPT}'")]),
-    "bgp2_star_two_attributes": (f"SELECT ?x ?y1 ?y2 WHERE {{{{ ?x rdf:type ub:FullProfessor . ?x ub:worksFor <{DEPT}> . ?x ub:teacherOf ?y1 . ?x ub:worksFor ?y2 .{{0}} }}}}", [("x", "rdf:type", "'ub:FullProfessor'"), ("x", "ub:worksFor", f"'{DEPT}'"), ("x", "ub:teacherOf", "y1"), ("x", "ub:worksFor", "y2")]),
-    "bgp3_member_triangle": ("SELECT ?x ?y ?z WHERE {{ ?x rdf:type ub:UndergraduateStudent . ?y rdf:type ub:University . ?z rdf:type ub:Department . ?x ub:memberOf ?z . ?z ub:subOrganizationOf ?y . ?x ub:undergraduateDegreeFrom ?y .{0} }}", [("x", "rdf:type", "'ub:UndergraduateStudent'"), ("y", "rdf:type", "'ub:University'"), ("z", "rdf:type", "'ub:Department'"), ("x", "ub:memberOf", "z"), ("z", "ub:subOrganizationOf", "y"), ("x", "ub:undergraduateDegreeFrom", "y")]),
-    "bgp4_star_three_attributes": ("SELECT ?x ?y1 ?y2 ?y3 WHERE {{ ?x ub:name ?y1 . ?x ub:emailAddress ?y2 . ?x ub:telephone ?y3 .{0} }}", [("x", "ub:name", "y1"), ("x", "ub:emailAddress", "y2"), ("x", "ub:telephone", "y3")]),
-    "bgp5_degree_triangle": ("SELECT ?x ?y ?z WHERE {{ ?x ub:undergraduateDegreeFrom ?y . ?x ub:memberOf ?z . ?z ub:subOrganizationOf ?y . ?x rdf:type ub:GraduateStudent .{0} }}", [("x", "ub:undergraduateDegreeFrom", "y"), ("x", "ub:memberOf", "z"), ("z", "ub:subOrganizationOf", "y"), ("x", "rdf:type", "'ub:GraduateStudent'")]),
-    "bgp6_advisor_triangle": ("SELECT ?x ?y ?z WHERE {{ ?y ub:teacherOf ?z . ?x ub:advisor ?y . ?x ub:takesCourse ?z .{0} }}", [("y", "ub:teacherOf", "z"), ("x", "ub:advisor", "y"), ("x", "ub:takesCourse", "z")]),
-    "bgp7_chain_const_end": (f"SELECT ?x ?y WHERE {{{{ ?x ub:worksFor ?y . ?x rdf:type ub:FullProfessor . ?y ub:subOrganizationOf <{UNIV}> . ?y rdf:type ub:Department .{{0}} }}}}", [("x", "ub:worksFor", "y"), ("x", "rdf:type", "'ub:FullProfessor'"), ("y", "ub:subOrganizationOf", f"'{UNIV}'"), ("y", "rdf:type", "'ub:Department'")]),
-}
+    "bgp1_star_semijoin": """SELECT ?x WHERE { ?x rdf:type ub:ResearchGroup . ?x ub:subOrganizationOf <http://www.Department0.University0.edu> .WHEN }""",
+    "bgp2_star_two_attributes": """SELECT ?x ?y1 ?y2 WHERE { ?x rdf:type ub:FullProfessor . ?x ub:name ?y1 . ?x ub:emailAddress ?y2 . ?x ub:worksFor <http://www.Department0.University0.edu> .WHEN }""",
+    "bgp3_member_triangle": """SELECT ?x ?y ?z WHERE { ?x rdf:type ub:UndergraduateStudent . ?y rdf:type ub:University . ?z rdf:type ub:Department . ?x ub:memberOf ?z . ?z ub:subOrganizationOf ?y . ?x ub:undergraduateDegreeFrom ?y .WHEN }""",
+    "bgp4_star_three_attributes": """SELECT ?x ?y1 ?y2 ?y3 WHERE { ?x ub:worksFor <http://www.Department0.University0.edu> . ?x rdf:type ub:FullProfessor . ?x ub:name ?y1 . ?x ub:emailAddress ?y2 . ?x ub:telephone ?y3 .WHEN }""",
+    "bgp5_degree_triangle": """SELECT ?x ?y ?z WHERE { ?x ub:memberOf ?z . ?x rdf:type ub:GraduateStudent . ?z ub:subOrganizationOf ?y . ?x ub:undergraduateDegreeFrom ?y . ?y rdf:type ub:University . ?z rdf:type ub:Department .WHEN }""",
+    "bgp6_advisor_triangle": """SELECT ?x ?y ?z WHERE { ?x rdf:type ub:UndergraduateStudent . ?y rdf:type ub:FullProfessor . ?z rdf:type ub:Course . ?y ub:teacherOf ?z . ?x ub:advisor ?y . ?x ub:takesCourse ?z .WHEN }""",
+    "bgp7_chain_const_end": """SELECT ?x ?y WHERE { ?x ub:worksFor ?y . ?x rdf:type ub:FullProfessor . ?y ub:subOrganizationOf <http://www.University0.edu> . ?y rdf:type ub:Department .WHEN }""",
+}
+
 
+def on_campus(spark: SparkSession, d: str, planned: bool = False) -> Store:
+    return Store.of_quads(campus.quads(spark, d), planned)
 
-def template_sql(parts: list[tuple[str, str, str]], day: str) -> str:
-    """The join of a template's patterns in SQL."""
+
+def campus_sql(query: str, day: str = CAMPUS_DAY) -> str:
+    """The joins of a query's patterns in SQL, put together from the words of its text."""
+    words = query.split("{")[1].split("}")[0].replace("WHEN", "").split()
+    full = lambda w: w[1:-1] if w[0] == "<" else w.replace("rdf:", campus.RDF).replace("ub:", campus.UB)
     at, conds, froms = {}, [], []
-    for i, (s, p, o) in enumerate(parts):
-        froms.append(f"f f{i}")
-        conds.append(f"f{i}.p = '{p}'")
-        for c, x in (("s", s), ("o", o)):
-            if x.startswith("'"):
-                conds.append(f"f{i}.{c} = {x}")
-            elif x in at:
-                conds.append(f"f{i}.{c} = {at[x]}")
+    for i in range(0, len(words), 4):
+        n = f"f{i // 4}"
+        froms.append(f"f {n}")
+        for c, w in zip("spo", words[i : i + 3]):
+            if w[0] == "?":
+                conds += [f"{n}.{c} = {at[w]}"] if w in at else []
+                at.setdefault(w, f"{n}.{c}")
             else:
-                at[x] = f"f{i}.{c}"
-    return f"WITH f AS {facts_sql(day)} SELECT DISTINCT {', '.join(f'{e} AS {v}' for v, e in at.items())} FROM {', '.join(froms)} WHERE {' AND '.join(conds)}"
+                conds.append(f"{n}.{c} = '{full(w)}'")
+    shown = query.split("WHERE")[0].split()[1:]
+    return f"WITH f AS (SELECT DISTINCT s, p, o FROM ({campus.sql()}) WHERE t <= DATE '{day}') SELECT DISTINCT {', '.join(f'{at[v]} AS {v[1:]}' for v in shown)} FROM {', '.join(froms)} WHERE {' AND '.join(conds)}"
+
+
+for _name, _q in TEMPLATES.items():
+    graph(_name, _q.replace("WHEN", when(CAMPUS_DAY)), campus_sql(_q), on_campus, prefixes=LUBM)
+
+_kept: dict = {}
+
 
+def saved_store(name: str, make):
+    """A store that is built, saved and opened when it is first asked for in a session."""
 
-for _name, (_q, _parts) in TEMPLATES.items():
-    graph(_name, _q.format(when("2023-02-10")), template_sql(_parts, "2023-02-10"))
+    def get(spark: SparkSession, d: str, planned: bool = True) -> Store:
+        key = (name, d, spark.sparkContext.applicationId)
+        if _kept.get(key) not in shared._made:
+            _kept[key] = shared_dir(spark, name)
+            make(spark, d).save(_kept[key])
+        return Store.open(spark, _kept[key], planned)
+
+    return get
+
+
+saved_campus = saved_store("campus", on_campus)
+for _i in (3, 5, 6):
+    _name, _q = next((n, q) for n, q in TEMPLATES.items() if n.startswith(f"bgp{_i}"))
+    graph(f"bgp_planned_saved_{_i}", _q.replace("WHEN", when(CAMPUS_DAY)), campus_sql(_q), saved_campus, prefixes=LUBM)
+    graph(f"bgp_unplanned_saved_{_i}", _q.replace("WHEN", when(CAMPUS_DAY)), campus_sql(_q), lambda spark, d: saved_campus(spark, d, False), prefixes=LUBM)
+_PLANNED = TEMPLATES["bgp3_member_triangle"]
+graph("bgp_planned_by_statistics", _PLANNED.replace("WHEN", when(CAMPUS_DAY)), campus_sql(_PLANNED), lambda spark, d: on_campus(spark, d, True), prefixes=LUBM)
+for _name, _q in {
+    "bgp_join_sp": "SELECT ?p ?c ?x WHERE { ?p rdf:type ?c . ?x ?p <http://www.Course1.edu> .WHEN }",
+    "bgp_join_op": "SELECT ?p ?u ?x WHERE { ?u ub:uses ?p . ?x ?p <http://www.Course1.edu> .WHEN }",
+    "bgp_two_key_close": "SELECT ?x ?y ?z WHERE { ?x ub:memberOf ?z . ?z ub:subOrganizationOf ?y . ?x ub:undergraduateDegreeFrom ?y .WHEN }",
+    "bgp_four_cycle": "SELECT ?x ?y ?u ?w WHERE { ?x ub:advisor ?y . ?y ub:worksFor ?w . ?x ub:memberOf ?u . ?w ub:subOrganizationOf ?v . ?u ub:subOrganizationOf ?v .WHEN }",
+    "scan_repeated_var": "SELECT ?x ?p WHERE { ?x ?p ?x .WHEN }",
+}.items():
+    graph(_name, _q.replace("WHEN", when(CAMPUS_DAY)), campus_sql(_q), on_campus, prefixes=LUBM)
+
+
+@other("cardinalities", f"WITH f AS (SELECT DISTINCT s, p, o FROM ({campus.sql()})) SELECT 'all' AS asked, count(*) AS n FROM f UNION ALL SELECT 'p', count(*) FROM f WHERE p = '{campus.UB}worksFor' UNION ALL SELECT 's p', count(*) FROM f WHERE s = 'http://www.Student4.edu' AND p = '{campus.UB}takesCourse' UNION ALL SELECT 'p o', count(*) FROM f WHERE p = '{campus.UB}memberOf' AND o = 'http://www.Department3.University1.edu' UNION ALL SELECT 's', count(*) FROM f WHERE s = 'http://www.Student4.edu'")
+def cardinalities(spark, d):
+    s, ub = saved_campus(spark, d), campus.UB
+    rows = {"all": {}, "p": {"p": ub + "worksFor"}, "s p": {"s": "http://www.Student4.edu", "p": ub + "takesCourse"}, "p o": {"p": ub + "memberOf", "o": "http://www.Department3.University1.edu"}, "s": {"s": "http://www.Student4.edu"}}
+    return spark.createDataFrame([(k, s.cardinality(**v)) for k, v in rows.items()], "asked string, n long")
 
 
 def pair(name: str, query: str, on: str, where: str, shown: str) -> None:
@@ -248,9 +298,6 @@ pair("bgp_join_ss", "SELECT ?x ?a ?b WHERE { ?x ub:name ?a . ?x ub:emailAddress
 pair("bgp_join_oo", "SELECT ?x ?y ?z WHERE { ?x ub:teacherOf ?z . ?y ub:takesCourse ?z .WHEN }", "a.o = b.o", "a.p = 'ub:teacherOf' AND b.p = 'ub:takesCourse'", "a.s AS x, b.s AS y, a.o AS z")
 pair("bgp_join_so", "SELECT ?x ?y ?z WHERE { ?x ub:advisor ?y . ?y ub:teacherOf ?z .WHEN }", "a.o = b.s", "a.p = 'ub:advisor' AND b.p = 'ub:teacherOf'", "a.s AS x, a.o AS y, b.o AS z")
 pair("bgp_join_pp", f"SELECT ?p ?o WHERE {{ <{STUDENT}> ?p ?a . <http://univ1.example/dept3/student0> ?p ?o .WHEN }}", "a.p = b.p", f"a.s = '{STUDENT}' AND b.s = 'http://univ1.example/dept3/student0'", "a.p AS p, b.o AS o")
-pair("bgp_join_sp", f"SELECT ?p ?c WHERE {{ ?p rdf:type ?c . <{STUDENT}> ?p ?o .WHEN }}", "a.s = b.p", f"a.p = 'rdf:type' AND b.s = '{STUDENT}'", "a.s AS p, a.o AS c")
-pair("bgp_join_op", f"SELECT ?p ?x WHERE {{ ?x rdf:type ?p . <{STUDENT}> ?p ?o .WHEN }}", "a.o = b.p", f"a.p = 'rdf:type' AND b.s = '{STUDENT}'", "a.o AS p, a.s AS x")
-pair("bgp_two_key_close", "SELECT ?x ?y WHERE { ?x ub:advisor ?y . ?y ub:teacherOf ?z . ?x ub:advisor ?y .WHEN }", "a.o = b.s", "a.p = 'ub:advisor' AND b.p = 'ub:teacherOf'", "a.s AS x, a.o AS y")
 pair("bgp_cross", "SELECT ?x ?y WHERE { ?x rdf:type ub:University . ?y rdf:type ub:ResearchGroup .WHEN }", "true", "a.p = 'rdf:type' AND a.o = 'ub:University' AND b.p = 'rdf:type' AND b.o = 'ub:ResearchGroup'", "a.s AS x, b.s AS y")
 
 
@@ -261,11 +308,6 @@ def join_reduced_both(spark, d):
     return a.select(F.lit("left").alias("side"), "y", F.col("z").alias("other")).unionAll(b.select(F.lit("right").alias("side"), "y", F.col("x").alias("other")))
 
 
-@other("bgp_planned_by_statistics", template_sql(TEMPLATES["bgp3_member_triangle"][1], "2023-02-10"))
-def bgp_planned(spark, d):
-    return Store.of_quads(table(spark, d, "temporal_quads"), planned=True).query(PREFIXES + TEMPLATES["bgp3_member_triangle"][0].format(when("2023-02-10")))
-
-
 # tables seen as quads
 
 
@@ -303,6 +345,11 @@ MAPPED = {
 }
 for _name, (_q, _sql, _preds) in MAPPED.items():
     graph(_name, _q.format(when("1999-06-10")), _sql.format("1999-06-10"), mapped(*_preds))
+for _i in (3, 4, 5):
+    _name, (_q, _sql, _preds) = next((n, x) for n, x in MAPPED.items() if n.startswith(f"shape{_i}"))
+    _store = saved_store(f"shape{_i}", mapped(*_preds))
+    graph(f"saved_{_name}", _q.format(when("1999-06-10")), _sql.format("1999-06-10"), _store)
+    graph(f"saved_{_name}_uncounted", _q.format(when("1999-06-10")), _sql.format("1999-06-10"), lambda spark, d, store=_store: store(spark, d, False))
 graph("mapped_type", "SELECT ?x ?n WHERE { ?x a <Nation> ; <name> ?n . }", "SELECT 'nation/' || n_nationkey AS x, n_name AS n FROM nation", mapped(RDF_TYPE, "name"))
 graph(
     "mapped_duplicates",
@@ -329,7 +376,17 @@ graph("mod_reduced", f"SELECT reduced ?d WHERE {{ ?x ub:memberOf ?d .{when(DAY)}
 graph("mod_count", f"SELECT count ?d WHERE {{ ?x ub:memberOf ?d .{when(DAY)} }}", f"SELECT o AS d, count(*) AS n FROM {_F} WHERE p = 'ub:memberOf' GROUP BY o")
 graph("mod_duplicates", f"SELECT duplicates ?d WHERE {{ ?x ub:memberOf ?d .{when(DAY)} }}", f"SELECT o AS d FROM {_F} WHERE p = 'ub:memberOf' GROUP BY o HAVING count(*) > 1")
 graph("mod_limit", "SELECT ?r ?n WHERE { ?r <name> ?n . ?r a <Region> . } LIMIT 10", "SELECT 'region/' || r_regionkey AS r, r_name AS n FROM region", mapped("name", RDF_TYPE))
-graph("mod_limit_cuts", f"SELECT ?x WHERE {{ ?x rdf:type ub:Course .{when(DAY)} }} LIMIT 7", None)
+_COURSES = f"SELECT DISTINCT s AS x FROM {_F} WHERE p = 'rdf:type' AND o = 'ub:Course'"
+
+
+@other("mod_limit_cuts", f"SELECT least(7, count(*)) AS n, least(7, count(*)) AS of_them FROM ({_COURSES})")
+def mod_limit_cuts(spark, d):
+    """How many rows a limit leaves, and how many of them are among the answers without it."""
+    q = PREFIXES + f"SELECT ?x WHERE {{ ?x rdf:type ub:Course .{when(DAY)} }}"
+    s = lubm(spark, d)
+    few = written(s.query(q + " LIMIT 7"), "few").withColumn("few", F.lit(1))
+    return few.join(s.query(q).withColumn("there", F.lit(1)), "x", "left").agg(F.count("few").alias("n"), F.count("there").alias("of_them"))
+
 
 # filters on values
 
@@ -346,6 +403,8 @@ graph(
     f"WITH RECURSIVE f AS {_F}, r(node) AS (SELECT '{DEPT}' UNION SELECT f.s FROM f JOIN r ON f.o = r.node WHERE f.p = 'ub:subOrganizationOf') SELECT DISTINCT s AS x FROM f WHERE p = 'ub:subOrganizationOf' AND s IN (SELECT node FROM r)",
 )
 
+graph("filter_unbound", f"SELECT ?x WHERE {{ ?x ub:worksFor ?d . filter( ?no = <{DEPT}> ) .{when(DAY)} }}", f"SELECT s AS x FROM {_F} WHERE false")
+
 # groups
 
 graph("union2", f"SELECT ?x WHERE {{ {{ ?x ub:worksFor <{DEPT}> }} UNION {{ ?x ub:memberOf <{DEPT}> }}{when(DAY)} }}", f"SELECT DISTINCT s AS x FROM {_F} WHERE p IN ('ub:worksFor', 'ub:memberOf') AND o = '{DEPT}'")
@@ -354,6 +413,13 @@ graph("union_joined", f"SELECT ?x ?c WHERE {{ ?x ub:teacherOf ?c . {{ ?x ub:work
 graph("union_partial", f"SELECT ?x ?y ?z WHERE {{ {{ ?x ub:advisor ?y }} UNION {{ ?x ub:worksFor ?z }}{when(DAY)} }}", f"WITH f AS {_F} SELECT s AS x, o AS y, CAST(NULL AS VARCHAR) AS z FROM f WHERE p = 'ub:advisor' UNION ALL SELECT s, NULL, o FROM f WHERE p = 'ub:worksFor'")
 graph("nested_group", f"SELECT ?x ?d ?c WHERE {{ ?x ub:advisor ?d . {{ ?d ub:worksFor ?w . {{ ?d ub:teacherOf ?c .{when(DAY)} }} }} }}", f"WITH f AS {_F} SELECT DISTINCT a.s AS x, a.o AS d, c.o AS c FROM f a JOIN f b ON a.o = b.s JOIN f c ON a.o = c.s WHERE a.p = 'ub:advisor' AND b.p = 'ub:worksFor' AND c.p = 'ub:teacherOf'")
 graph("optional_left", f"SELECT ?x ?d ?c WHERE {{ ?x ub:worksFor ?d . OPTIONAL {{ ?x ub:teacherOf ?c }}{when(DAY)} }}", f"WITH f AS {_F} SELECT a.s AS x, a.o AS d, b.o AS c FROM (SELECT * FROM f WHERE p = 'ub:worksFor') a LEFT JOIN (SELECT * FROM f WHERE p = 'ub:teacherOf') b ON a.s = b.s")
+graph(
+    "optional_chained",
+    f"SELECT ?x ?d ?c ?y WHERE {{ ?x ub:worksFor ?d . OPTIONAL {{ ?x ub:teacherOf ?c }} OPTIONAL {{ ?y ub:takesCourse ?c . ?y ub:memberOf ?d }}{when(DAY)} }}",
+    f"""WITH f AS {_F}, a AS (SELECT s AS x, o AS d FROM f WHERE p = 'ub:worksFor'), b AS (SELECT s AS x, o AS c FROM f WHERE p = 'ub:teacherOf'),
+        y AS (SELECT t.s AS y, t.o AS c, m.o AS d FROM f t JOIN f m ON t.s = m.s WHERE t.p = 'ub:takesCourse' AND m.p = 'ub:memberOf'), ab AS (SELECT a.*, b.c FROM a LEFT JOIN b USING (x))
+        SELECT DISTINCT ab.x, ab.d, coalesce(ab.c, y.c) AS c, y.y FROM ab LEFT JOIN y ON y.d = ab.d AND (ab.c IS NULL OR y.c = ab.c)""",
+)
 graph("lists_semicolon_comma", f"SELECT ?x ?a ?b WHERE {{ ?x ub:teacherOf ?a , ?b ; ub:worksFor <{DEPT}> .{when(DAY)} }}", f"WITH f AS {_F} SELECT a.s AS x, a.o AS a, b.o AS b FROM f a JOIN f b ON a.s = b.s JOIN f c ON a.s = c.s WHERE a.p = 'ub:teacherOf' AND b.p = 'ub:teacherOf' AND c.p = 'ub:worksFor' AND c.o = '{DEPT}'")
 graph("blank_nodes", f"SELECT ?d WHERE {{ [ ub:worksFor ?d ; ub:teacherOf [] ] ub:teacherOf _:c .{when(DAY)} }}", f"WITH f AS {_F} SELECT DISTINCT a.o AS d FROM f a JOIN f b ON a.s = b.s WHERE a.p = 'ub:worksFor' AND b.p = 'ub:teacherOf'")
 graph("unknown_constant_empty", f"SELECT ?x ?y WHERE {{ ?x ub:worksFor <nowhere> . ?x ub:teacherOf ?y .{when(DAY)} }}", f"WITH f AS {_F} SELECT a.s AS x, b.o AS y FROM f a JOIN f b ON a.s = b.s WHERE a.p = 'ub:worksFor' AND a.o = 'nowhere' AND b.p = 'ub:teacherOf'")
@@ -389,6 +455,66 @@ def upd_log_rows(spark, d):
     return changing(spark, d).changes(PREFIXES + "DELETE { ?s ub:officeRoom ?o }", dt.date(2030, 1, 1), 5)
 
 
+@other("upd_edge", f"""SELECT s, p, o FROM {_NOW} WHERE NOT (s = 'http://univ1.example/dept0/prof1' AND p = 'ub:rank' AND o = 'Full Professor')
+    UNION SELECT 'http://univ1.example/dept0/prof1', 'ub:rank', 'Emeritus' FROM {_NOW} WHERE s = 'http://univ1.example/dept0/prof1' AND p = 'ub:rank' AND o = 'Full Professor'""")
+def upd_edge(spark, d):
+    who = "http://univ1.example/dept0/prof1"
+    s = changing(spark, d).update_edge((who, "ub:rank", "Full Professor"), (who, "ub:rank", "Emeritus"), dt.date(2030, 1, 1))
+    return s.query("SELECT ?s ?p ?o WHERE { ?s ?p ?o }")
+
+
+@other("upd_today", "SELECT 'INSERT' AS op, 'a' AS s, 'p' AS p, 'b' AS o, current_date AS t, CAST(0 AS BIGINT) AS seq")
+def upd_today(spark, d):
+    return changing(spark, d).changes("INSERT DATA { <a> <p> <b> }")
+
+
+def _log(spark, d):
+    return table(spark, d, "change_log").select("op", "s", "p", "o", "t", "seq")
+
+
+def early_store(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """A new store of the log rows that arrived first, and the rows that came later."""
+    path, log = shared_dir(spark, "store"), _log(spark, d)
+    late = F.coalesce(F.pmod("seq", F.lit(10)) == 3, F.lit(True))
+    Store.of_log(log.where(~late)).save(path)
+    return path, log.where(late)
+
+
+_ALL_THAT_IS = f"SELECT s, p, o, t_from, t_to FROM ({_SPELLS}) WHERE op = 'INSERT'"
+
+
+@other("upd_saved_store", _ALL_THAT_IS)
+def upd_saved_store(spark, d):
+    """Saved, extended, opened again."""
+    path, late = early_store(spark, d)
+    saved.Saved(spark, path).extend(late)
+    return Store.open(spark, path).periods
+
+
+@other("upd_saved_counts", f"SELECT s, p, count(*) AS n FROM {held_sql(None)} GROUP BY s, p")
+def upd_saved_counts(spark, d):
+    path, late = early_store(spark, d)
+    saved.Saved(spark, path).extend(late)
+    return Store.open(spark, path).counts("sp")
+
+
+@other("upd_saved_compacted", _ALL_THAT_IS)
+def upd_saved_compacted(spark, d):
+    path, late = early_store(spark, d)
+    saved.Saved(spark, path).extend(late).compacted()
+    return Store.open(spark, path).periods
+
+
+@other("stream_into_store", f"SELECT s, o FROM {held_sql(DAY)} WHERE p = 'ub:worksFor'")
+def stream_into_store(spark, d):
+    """Later rows come as a stream of files into a store that has rows."""
+    path, late = early_store(spark, d)
+    feed = shared_dir(spark, "feed")
+    late.write.parquet(feed)
+    log_stream.append(log_stream.read_log(spark, feed), path, shared_dir(spark, "progress")).awaitTermination()
+    return Store.open(spark, path).query(PREFIXES + _WORKS.format(when(DAY)))
+
+
 # statistics
 
 for _by in ("p", "sp", "op", "s", "o", "so"):
@@ -486,9 +612,22 @@ def reification_test(spark, d):
     return table(spark, d, "predicate_dict").select("p", T.about_statement(F.col("p")).alias("about"))
 
 
-@other("dict_hash_collisions", f"SELECT CAST(0 AS BIGINT) AS id, count(*) AS n FROM {_TERMS} HAVING count(*) <> count(DISTINCT term)")
+@other("dict_hash_collisions", f"SELECT CAST('0x' || substr(md5(term), 1, 4) AS BIGINT) AS id, count(*) AS n FROM {_TERMS} GROUP BY 1 HAVING count(*) > 1")
 def dict_hash_collisions(spark, d):
-    return T.collisions(_terms(spark, d))
+    """With 16 bits, so that there are some."""
+    return T.collisions(_terms(spark, d), hashed=lambda c: F.conv(F.substring(F.md5(c), 1, 4), 16, 10).cast("long"))
+
+
+@other("dict_hashed_ids", f"SELECT count(*) AS terms, count(*) AS ids FROM {_TERMS}")
+def dict_hashed_ids(spark, d):
+    t = _terms(spark, d).where("term IS NOT NULL")
+    return t.agg(F.count_distinct("term").alias("terms"), F.count_distinct(T.hashed_id(F.col("term"))).alias("ids"))
+
+
+@other("numbers_near", "SELECT l_quantity, count(*) AS n FROM lineitem WHERE abs(l_extendedprice / l_quantity - round(l_extendedprice / l_quantity)) <= 1e-8 GROUP BY 1")
+def numbers_near(spark, d):
+    x = F.col("l_extendedprice") / F.col("l_quantity")
+    return table(spark, d, "lineitem").where(T.near(x, F.round(x))).groupBy("l_quantity").agg(F.count("*").alias("n"))
 
 
 # text in and out
@@ -503,11 +642,46 @@ def quads_as_lines(spark, d):
     return text.as_lines(lubm(spark, d).quads)
 
 
+@other("source_quads", f"SELECT regexp_extract(line, '^[ \\t]*<([^>]+)>', 1) AS s, count(*) AS n FROM ({_LINES}) WHERE says AND good GROUP BY 1")
+def source_quads(spark, d):
+    """Build files, read with their faulty lines."""
+    path = shared_dir(spark, "lines")
+    table(spark, d, "quad_lines").select("line").write.text(path)
+    return text.read_quads(spark, path).where("reason IS NULL").groupBy("s").agg(F.count("*").alias("n"))
+
+
+@other("source_triples", f"SELECT s, p, o, CAST(NULL AS VARCHAR) AS reason FROM {facts_sql()} UNION ALL SELECT NULL, NULL, NULL, 'bad or missing object' UNION ALL SELECT NULL, NULL, NULL, 'missing dot or surplus term'")
+def source_triples(spark, d):
+    """Insert files: facts written as lines, with two faulty ones among them."""
+    path = shared_dir(spark, "triples")
+    bad = spark.createDataFrame([("<a> <b> .",), ("<a> <b> <c> <2022-01-01> .",), ("# a note",), ("",)], "value string")
+    text.as_triples(lubm(spark, d).as_of(dt.date.fromisoformat(DAY)).facts.distinct()).unionAll(bad).write.text(path)
+    return text.read_triples(spark, path).select("s", "p", "o", "reason")
+
+
+@other("source_turtle", f"SELECT s, p, o, CAST(NULL AS VARCHAR) AS error FROM {facts_sql()} WHERE p = 'rdf:type'")
+def source_turtle(spark, d):
+    """Turtle files of typed things, a prefix and a list of predicates each."""
+    path = shared_dir(spark, "turtle")
+    f = lubm(spark, d).as_of(dt.date.fromisoformat(DAY)).facts.where("p = 'rdf:type'").distinct()
+    body = f.select(F.concat(F.lit("<"), "s", F.lit("> r:type <"), "o", F.lit("> .")).alias("line"))
+    files = body.groupBy(F.pmod(F.xxhash64("line"), F.lit(8)).alias("file")).agg(F.concat_ws("\n", F.lit("@prefix r: <rdf:> ."), F.array_join(F.collect_list("line"), "\n")).alias("value"))
+    files.write.partitionBy("file").text(path)
+    return turtle.read_turtle(spark, path).select("s", "p", "o", "error")
+
+
+@other("source_query_file", f"SELECT s, o FROM {facts_sql()} WHERE p = 'ub:worksFor'")
+def source_query_file(spark, d):
+    """A query out of a file on the driver, with comments and line breaks."""
+    with tempfile.NamedTemporaryFile("w", suffix=".rq") as f:
+        f.write("# who works where\n" + PREFIXES + "\nSELECT ?s ?o WHERE\n{\n\t?s ub:worksFor ?o .  # one pattern\n" + when(DAY) + "\n}\n")
+        f.flush()
+        return lubm(spark, d).answer(parse_file(f.name))
+
+
 @other("built_store_query", f"SELECT s, o FROM {held_sql(DAY)} WHERE p = 'ub:worksFor'")
 def built_store_query(spark, d):
     """Builds the store on disk from the log, opens it and queries it as of a day."""
-    from quadrille.functions.shared import shared_dir
-
     path = shared_dir(spark, "store")
     changing(spark, d).save(path)
     return Store.open(spark, path).query(PREFIXES + _WORKS.format(when(DAY)))

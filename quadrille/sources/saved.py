@@ -190,6 +190,10 @@ def _write_counts(facts: DataFrame, path: str) -> None:
     sp.groupBy("p").agg(F.sum("n").alias("n")).coalesce(1).write.parquet(f"{path}/p")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    return bool(_manifests(spark, path))
+
+
 def create(spark: SparkSession, path: str, log: DataFrame, periods: DataFrame, mode: str = "errorifexists") -> Saved:
     """A new store, or with ``overwrite`` a new version of the one that is there, made of this log alone."""
     names = _manifests(spark, path)

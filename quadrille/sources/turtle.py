@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -27,8 +28,8 @@ _TOKEN = re.compile(
 _LIST = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 
 
-def triples(text: str) -> Iterator[tuple[str, str, str]]:
-    """The triples of a document; terms without brackets or quotes, language tags and types dropped."""
+def triples(text: str, scope: str = "") -> Iterator[tuple[str, str, str]]:
+    """The triples of a document; terms without brackets or quotes, language tags and types dropped. Names of blank nodes get the ``scope`` before them."""
     toks, at = [], 0
     while at < len(text):
         m = _TOKEN.match(text, at)
@@ -53,7 +54,7 @@ def triples(text: str) -> Iterator[tuple[str, str, str]]:
     def new() -> str:
         nonlocal fresh
         fresh += 1
-        return f"_:g{fresh}"
+        return f"_:{scope}g{fresh}"
 
     def iri(word: str) -> str:
         x = word[1:-1]
@@ -76,7 +77,9 @@ def triples(text: str) -> Iterator[tuple[str, str, str]]:
                 take()
                 term()
             return value
-        if kind in ("number", "blank") or word in ("true", "false"):
+        if kind == "blank":
+            return f"_:{scope}{word[2:]}"
+        if kind == "number" or word in ("true", "false"):
             return word
         if word == "[":
             node = new()
@@ -140,13 +143,18 @@ def triples(text: str) -> Iterator[tuple[str, str, str]]:
 
 
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
-    """``file_name, s, p, o, error``: the triples of Turtle files, one task a file; a file that isn't Turtle gives one row with the error."""
+    """``file_name, s, p, o, error``: the triples of Turtle files; a file that isn't Turtle gives one row with the error.
+
+    A prefix or a blank node may be used anywhere behind its place, so a file is one task's work and has
+    to fit into its memory: large graphs come as many files, or as quad or triple lines, which are cut
+    anywhere. Blank nodes of different files are different nodes; their names begin with a hash of the file's.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, text in zip(b["file_name"], b["value"]):
                 try:
-                    yield pd.DataFrame([(name, *x, None) for x in triples(text)], columns=["file_name", "s", "p", "o", "error"], dtype=object)
+                    yield pd.DataFrame([(name, *x, None) for x in triples(text, hashlib.blake2s(name.encode(), digest_size=8).hexdigest() + "_")], columns=["file_name", "s", "p", "o", "error"], dtype=object)
                 except ParseError as e:
                     yield pd.DataFrame([(name, None, None, None, str(e))], columns=["file_name", "s", "p", "o", "error"], dtype=object)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quadrille.sources.quad_lines import parse_quads
-from quadrille.sources.saved import LOG, Saved
+from quadrille.sources.saved import LOG, PERIODS, Saved, create, exists
 
 
 def read_log(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -22,12 +22,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append(stream: DataFrame, path: str, checkpoint: str, name: str = "log") -> StreamingQuery:
-    """Adds a stream of log rows to a saved store, what it held before and its periods and counts included.
+    """Adds a stream of log rows to a saved store, an empty one if there is none; periods and counts follow.
 
     Each batch extends the store by one version, which also notes the batch's number under the
     stream's ``name``; a batch that is delivered again after a failure is recognised and adds nothing.
     """
 
+    spark = stream.sparkSession
+    if not exists(spark, path):
+        create(spark, path, spark.createDataFrame([], LOG), spark.createDataFrame([], PERIODS))
+
     def add(batch: DataFrame, number: int) -> None:
         Saved(batch.sparkSession, path).extend(batch, (name, number))
 

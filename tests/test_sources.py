@@ -9,6 +9,7 @@ from quadrille.functions import terms as T
 from quadrille.operators import log_pages
 from quadrille.plans.sparql import RDF_TYPE, ParseError
 from quadrille.sources import text, turtle
+from quadrille.store import Store
 from quadrille.streaming import log_stream
 
 D = dt.date
@@ -25,8 +26,10 @@ def test_quads_written_and_read(spark, tmp_path):
 
 
 def test_triples(spark, tmp_path):
-    (tmp_path / "t").write_text('<a> <p> <b> .\n<a> <p> "l \\"x\\""@en.\nnothing\n<a> <p> .\n')
-    assert {tuple(r) for r in text.read_triples(spark, str(tmp_path / "t")).collect()} == {("a", "p", "b"), ("a", "p", 'l "x"')}
+    (tmp_path / "t").write_text('<a> <p> <b> .\n<a> <p> "l \\"x\\""@en.\nnothing\n<a> <p> .\n\n# note\n<a> <p> <o> <t> .\n<a> <p> "\x01\\\\n\\n\\\\" .\n')
+    got = text.read_triples(spark, str(tmp_path / "t")).collect()
+    assert {(r.s, r.p, r.o) for r in got if not r.reason} == {("a", "p", "b"), ("a", "p", 'l "x"'), ("a", "p", "\x01\\n\n\\")}
+    assert {(r.line, r.reason) for r in got if r.reason} == {("nothing", "bad or missing subject"), ("<a> <p> .", "bad or missing object"), ("<a> <p> <o> <t> .", "missing dot or surplus term")}
 
 
 TTL = """@prefix ex: <http://ex.org/> . @base <http://b.org/> . # note
@@ -51,6 +54,10 @@ def test_turtle(spark, tmp_path):
     assert d.where("error IS NULL").count() == 16 and d.where("error IS NOT NULL").count() == 1
     with pytest.raises(ParseError):
         turtle.triples("<a> <b>")
+    (tmp_path / "g").mkdir()
+    for n in "ab":
+        (tmp_path / "g" / n).write_text("[] <p> _:b .")
+    assert len({r.s for r in turtle.read_turtle(spark, str(tmp_path / "g")).collect()}) == 2 == len({r.o for r in turtle.read_turtle(spark, str(tmp_path / "g")).collect()})
 
 
 def test_terms(spark):
@@ -87,12 +94,12 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame([r], log_stream.LOG).coalesce(1).write.mode("append").parquet(src)
     q = log_stream.append(log_stream.deduplicated(log_stream.read_log(spark, src)), str(tmp_path / "store"), str(tmp_path / "cp"))
     q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "store" / "log")).count() == 3
+    assert Store.open(spark, str(tmp_path / "store")).log.count() == 3
     q = log_stream.append(log_stream.read_log(spark, src), str(tmp_path / "store2"), str(tmp_path / "cp2"))
     q.awaitTermination()
     q = log_stream.append(log_stream.read_log(spark, src), str(tmp_path / "store2"), str(tmp_path / "cp2"))
     q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "store2" / "log")).count() == 4
+    assert Store.open(spark, str(tmp_path / "store2")).log.count() == 4
     q = log_stream.changes_by_day(log_stream.read_log(spark, src)).writeStream.format("memory").queryName("by_day").outputMode("append").start()
     q.processAllAvailable()
     q.stop()

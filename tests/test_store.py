@@ -8,7 +8,6 @@ import pytest
 
 from quadrille.functions.shared import shared_dir
 from quadrille.operators import statistics as S
-from quadrille.plans.execute import UnsupportedQuery
 from quadrille.plans.planner import Statistics, order
 from quadrille.plans.sparql import parse
 from quadrille.sources import saved
@@ -113,8 +112,39 @@ def test_union_optional_filters(store):
     assert ask(store, "SELECT ?x ?n { ?x <worksFor> ?d OPTIONAL { ?x <name> ?n } }") == {("alice", "Alice"), ("bob", None), ("carol", None)}
     assert ask(store, "SELECT ?x { ?x <worksFor> ?d . filter(?d not in <dept1>) }") == {("carol",)}
     assert ask(store, "SELECT ?x { ?x <name> ?n . filter(?n = \"Alice\") }") == {("alice",)}
-    with pytest.raises(UnsupportedQuery):
-        store.query("SELECT ?x { ?x <worksFor> ?d OPTIONAL { ?x <name> ?n } OPTIONAL { ?n <p> ?m } }")
+    assert ask(store, "SELECT ?x { ?x <worksFor> ?d . filter(?no = <dept1>) }") == set()
+
+
+def solutions(patterns, facts):
+    out = [{}]
+    for pattern in patterns:
+        new = []
+        for m in out:
+            for f in facts:
+                n = dict(m)
+                if all(n.setdefault(a, b) == b if a[0] == "?" else a == b for a, b in zip(pattern, f)):
+                    new.append(n)
+        out = new
+    return out
+
+
+def test_variables_that_may_be_unbound(spark):
+    """Optional parts that share them, against compatible mappings by definition."""
+    rng = random.Random(8)
+    facts = {(rng.choice("abc"), rng.choice("pqr"), rng.choice("abc")) for _ in range(14)}
+    s = Store.of_quads(spark.createDataFrame([(*f, D(2022, 1, 1)) for f in facts], "s string, p string, o string, t date"))
+    compatible = lambda m, n: all(m[k] == n[k] for k in m if k in n)
+    base, one, two, three = (solutions(x, facts) for x in ([("?x", "p", "?d")], [("?x", "q", "?n")], [("?n", "r", "?m")], [("?n", "p", "?x")]))
+    for q, parts in (("OPTIONAL { ?x <q> ?n } OPTIONAL { ?n <r> ?m }", (one, two)), ("OPTIONAL { ?x <q> ?n } OPTIONAL { ?n <p> ?x }", (one, three))):
+        want = base
+        for part in parts:
+            want = [r for m in want for r in ([{**m, **n} for n in part if compatible(m, n)] or [m])]
+        got = ask(s, f"SELECT ?x ?d ?n ?m {{ ?x <p> ?d {q} }}") if "?m" in q else ask(s, f"SELECT ?x ?d ?n {{ ?x <p> ?d {q} }}")
+        assert got == {tuple(m.get(v) for v in ("?x", "?d", "?n", "?m")[: 4 if "?m" in q else 3]) for m in want}
+    got = ask(s, "SELECT ?x ?d ?n { { ?x <p> ?d } UNION { ?x <q> ?n } { ?n <p> ?x } UNION { ?d <r> ?x } }")
+    left = [*base, *one]
+    right = [*three, *solutions([("?d", "r", "?x")], facts)]
+    assert got == {tuple({**m, **n}.get(v) for v in ("?x", "?d", "?n")) for m in left for n in right if compatible(m, n)}
 
 
 def test_reaches_ends_on_a_cycle(spark):
