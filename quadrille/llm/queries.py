@@ -57,11 +57,21 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
     return truncated.by_source(truncated.judged(table(spark, d, "documents")))
 
 
+def p9_by_way(spark: SparkSession, d: str) -> DataFrame:
+    return truncated.judged(table(spark, d, "documents")).where("cut").select("doc_id", "by")
+
+
+def p9_at_spikes(spark: SparkSession, d: str) -> DataFrame:
+    """What built-in expressions find by source: texts at spikes, and those of them without terminal punctuation."""
+    s = truncated.at_spikes(table(spark, d, "documents"))
+    return s.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if("at_spike").alias("n_at_spike"), F.count_if(F.col("at_spike") & ~F.col("ended")).alias("n_stops"))
+
+
 def p9_spikes(spark: SparkSession, d: str) -> DataFrame:
     return truncated.spikes(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p5_found, p5_records, p6_distinct, p6_merged, p7_ids, p8_containers, p9_found, p9_by_source, p9_spikes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p5_found, p5_records, p6_distinct, p6_merged, p7_ids, p8_containers, p9_found, p9_by_way, p9_by_source, p9_at_spikes, p9_spikes)}
 
 _HEAVY = f"""
 SELECT '{{c}}' AS field, {{c}} AS item, count(*) AS n FROM temporal_quads WHERE {{c}} IS NOT NULL
@@ -84,18 +94,34 @@ FROM (SELECT rec_id, CASE WHEN ltrim(record) LIKE '{%'
       FROM triple_feed WHERE record IS NOT NULL)
 """
 _KEPT = f"SELECT rec_id, min(rec_id) OVER (PARTITION BY c) AS keep_id, count(*) OVER (PARTITION BY c) AS n FROM ({_SAME})"
-_LENGTHS = """
-SELECT source, 'chars' AS measure, CAST(length(text) AS INTEGER) AS length, count(*) AS n FROM documents WHERE length(text) > 0 GROUP BY ALL
-UNION ALL SELECT source, 'bytes', CAST(strlen(text) AS INTEGER), count(*) FROM documents WHERE length(text) > 0 GROUP BY ALL
+_CELL = "power(2, CAST('0x' || substr(md5(text), 1, 2) AS INTEGER) % 64)::HUGEINT"
+_LENGTHS = f"""
+SELECT source, measure, CAST(length AS INTEGER) AS length, count(*) AS n, bit_count(bit_or(cell)) AS cells FROM (
+  SELECT source, 'chars' AS measure, length(text) AS length, {_CELL} AS cell FROM documents WHERE length(text) > 0
+  UNION ALL SELECT source, 'bytes', strlen(text), {_CELL} FROM documents WHERE length(text) > 0) GROUP BY ALL
 """
 _AROUND, _NEAR = truncated.AROUND, truncated.NEAR
+_SPIKES = f"""
+SELECT source, measure, length, n, longer FROM (
+  SELECT *, greatest(CASE WHEN length > {_NEAR + 1} THEN (coalesce(sum(d) OVER (w RANGE BETWEEN {_AROUND} PRECEDING AND {_NEAR + 1} PRECEDING), 0) + 1) / greatest(1, least({_AROUND}, length - 1) - {_NEAR}) ELSE 0 END,
+         (coalesce(sum(d) OVER (w RANGE BETWEEN {_NEAR + 1} FOLLOWING AND {_AROUND} FOLLOWING), 0) + 1) / {_AROUND - _NEAR}) AS usual,
+         count(*) OVER (PARTITION BY source, measure) AS tried, CAST(sum(n) OVER (PARTITION BY source, measure) - sum(n) OVER w AS BIGINT) AS longer
+  FROM (SELECT *, CAST(CASE WHEN cells < 64 THEN least(n, greatest(cells, round(-64 * ln(1 - cells / 64)))) ELSE n END AS DOUBLE) AS d FROM ({_LENGTHS}))
+  WINDOW w AS (PARTITION BY source, measure ORDER BY length))
+WHERE d > usual AND d * ln(d / usual) - d + usual >= ln(tried / {truncated.CHANCE})
+"""
+_BLANK = "'" + truncated.BLANKS + "'"
+_TAILS = f"""
+SELECT *, rtrim(regexp_replace(tail, $re${truncated.MARKS}$re$, ''), {_BLANK}) AS core FROM (
+  SELECT *, right(last, {truncated.TAIL}) AS tail FROM (
+    SELECT source, length(text) AS chars, strlen(text) AS bytes, regexp_extract(rtrim(text, {_BLANK}), '([^\n]*)$', 1) AS last FROM documents))
+"""
 ORACLE_SQL = {
-    "p9_spikes": f"""
-        SELECT source, measure, length, n FROM (SELECT *, greatest(
-            coalesce(sum(n) OVER (w RANGE BETWEEN {_AROUND} PRECEDING AND {_NEAR + 1} PRECEDING), 0),
-            coalesce(sum(n) OVER (w RANGE BETWEEN {_NEAR + 1} FOLLOWING AND {_AROUND} FOLLOWING), 0)) / {_AROUND - _NEAR} AS usual
-          FROM ({_LENGTHS}) WINDOW w AS (PARTITION BY source, measure ORDER BY length))
-        WHERE n >= {truncated.FEWEST} AND n >= {truncated.EXCESS} * usual AND length > {_AROUND}""",
+    "p9_spikes": _SPIKES,
+    "p9_at_spikes": f"""
+        WITH s AS ({_SPIKES}), t AS (SELECT *, EXISTS (SELECT 1 FROM s WHERE s.source IS NOT DISTINCT FROM t.source AND ((measure = 'chars' AND length = chars) OR (measure = 'bytes' AND length = bytes))) AS at_spike,
+            coalesce((regexp_matches(core, $re${truncated.ENDS}$re$) AND NOT regexp_matches(tail, $re${truncated.HALF}$re$)) OR NOT regexp_matches(last, '\\p{{L}}'), true) AS ended FROM ({_TAILS}) t)
+        SELECT source, count(*) AS n_docs, count(*) FILTER (at_spike) AS n_at_spike, count(*) FILTER (at_spike AND NOT ended) AS n_stops FROM t GROUP BY source""",
     "p5_found": f"SELECT keep_id, rec_id AS copy_id FROM ({_KEPT}) WHERE rec_id <> keep_id",
     "p5_records": f"SELECT keep_id, n FROM ({_KEPT}) WHERE rec_id = keep_id",
     "p2_found": f"SELECT field, item FROM ({_BOTH})",

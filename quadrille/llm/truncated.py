@@ -1,21 +1,21 @@
 """Texts that were cut off, by a length limit or in transfer, and how often each source cuts.
 
 Method.  For each source the lengths of all its texts are counted, in characters and in bytes.  A
-length is a spike when far more texts have it than the lengths around it would make likely: texts
-pile up where a field ended.  A text at a spike without terminal punctuation is flagged, unless what
-it ends with is clearly no running text.  Cuts in transfer have no common length, so texts at other
-lengths are judged as well, but must look clearly like running text that stops.
-
-What a text ends with is judged from its last line.  Lines before the last one of a text were never
-cut; they show how complete lines of this corpus end.  A naive Bayes model of word and shape features
-is fitted to a bounded sample of texts (``FIT`` of them, of at most ``FIT_CHARS`` characters): lines
-without terminal punctuation are furniture (menus, lists, headings, notices, footers, tables, code);
-running text is cut at random places to show what cuts look like.  The model only classifies; lengths,
-spikes and shares cover all rows.
-
-Scale.  One aggregation to (source, measure, length) with map-side combine, one window over the
-distinct lengths of a source, and a map-only pass over the last lines, joined to the spikes only by
-length.
+length is a spike when more texts have it than the lengths around it make likely: texts pile up where
+a field ended, most of all at a source's maximum.  A text at a spike without terminal punctuation was
+cut (``by`` is ``spike``).  All of this is built-in expressions over all rows.
+
+Cuts in transfer have no common length, so spikes can't show them.  As a second way, under its own name
+(``by`` is ``ending``), texts at other lengths are judged by what they end with.  Lines before the last
+one of a text were never cut; they show how complete lines of this corpus end.  A naive Bayes model of
+word and shape features is fitted to a bounded sample of texts (``FIT`` of them, of at most
+``FIT_CHARS`` characters): lines without terminal punctuation are furniture (menus, lists, headings,
+notices, footers, tables, code); running text is cut at random places to show what cuts look like.
+The model only classifies; lengths, spikes and shares cover all rows.
+
+Scale.  One aggregation to (source, measure, length) with fixed-width state and map-side combine, one
+window over the distinct lengths of a source, and a map-only pass over the texts, joined to the spikes
+by length.  Only last lines that built-in expressions can't settle are looked at in Python.
 """
 
 from __future__ import annotations
@@ -28,20 +28,29 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quadrille.functions.shared import written
+
 FIT, FIT_CHARS, SEED = 4000, 20_000, 7
-NEAR, AROUND, EXCESS, FEWEST = 16, 256, 8.0, 4
-#: Log-odds that an ending must exceed to count as running text: anywhere, with an ellipsis behind it, at a spike.
-ANYWHERE, MARKED, AT_SPIKE = 1.5, -1.0, -2.0
+NEAR, AROUND = 16, 256
+#: How likely it may be that any length of a source is taken for a spike by chance.
+CHANCE = 0.01
+#: Log-odds that an ending must exceed to count as running text: anywhere, with an ellipsis behind it.
+ANYWHERE, MARKED = 1.5, -1.0
+#: Characters at the end of a last line that the built-in test of punctuation looks at; what consists of marks to that extent is left to Python.
+TAIL = 1024
 
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\xa0            ​    ⁠　﻿"
 _CLOSE = r"[\"”»“’'\)\]）」』›]"
 _STOP = re.compile(rf"(?:[。！？]{_CLOSE}*|[.!?…]+(?:{_CLOSE}|\s[»)])*(?=\s|$))")
-_ENDS = re.compile(rf"[.!?…。！？](?:{_CLOSE}|\s[»)])*$")
-_MARKS = re.compile(r"(?:\s*(?:\.{3,}|…+|[\[(<]\s*(?:\.{3,}|…+)\s*[\])>]|�|[\[(<{]))+$")
+#: A whole sentence ends so; marks may follow a cut (patterns in the common subset of Python, Java and RE2).
+ENDS = rf"[.!?…。！？](?:{_CLOSE}|\s[»)])*$"
+MARKS = r"(?:\s*(?:\.{3,}|…+|[\[(<]\s*(?:\.{3,}|…+)\s*[\])>]|�|[\[(<{]))+$"
+HALF = r"(?:^|[^.])\.\.$"  # in the middle of an ellipsis
+_ENDS, _MARKS, _HALF = re.compile(ENDS), re.compile(MARKS), re.compile(HALF)
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|(?:[^\W\d_぀-ヿ㐀-鿿]|�)+|\d+|[^\w\s]|_+")
 _WIDE = {bytes([b]).decode("cp1252"): b for b in range(128, 160) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
@@ -145,76 +154,120 @@ class Model:
     def score(self, part: str, follows: bool) -> float:
         return sum(self.weight.get(f, 0.0) for f in set(features(part, follows)))
 
-    def is_cut(self, line: str, spike: bool) -> bool:
-        """Whether a text that ends with this line was cut off."""
+    def stops(self, line: str) -> tuple[str, bool] | None:
+        """What stands before the marks at the end of a line, and whether these have dots; None if the line is complete: a whole sentence, an ellipsis that belongs there, numbers or signs only."""
         line = plain(line)
         core = _MARKS.sub("", line).rstrip(BLANKS)
         marks = line[len(core) :]
-        if re.search(r"(?<!\.)\.\.$", line):  # in the middle of an ellipsis
+        if _HALF.search(line):
             core, marks = line[:-2], ".."
-        dotted = "." in marks or "…" in marks
-        if marks and self.tail(core) in self.natural:  # an ellipsis that belongs there, damaged or not
-            return False
+        if marks and self.tail(core) in self.natural:  # damaged or not
+            return None
         if _ENDS.search(core) or not any(map(str.isalpha, core)):
-            return False  # a whole sentence, a row of numbers, signs only
-        part, follows = fragment(core)
+            return None
+        return core, "." in marks or "…" in marks
+
+    def is_cut(self, line: str) -> bool:
+        """Whether a text of any length that ends with this line was cut off."""
+        got = self.stops(line)
+        if got is None:
+            return False
+        part, follows = fragment(got[0])
         if not any(c.isalnum() for c in part) and not follows:
             return False
-        return self.score(part, follows) > (AT_SPIKE if spike else MARKED if dotted else ANYWHERE)
+        return self.score(part, follows) > (MARKED if got[1] else ANYWHERE)
 
 
 def spikes(df: DataFrame, *, source: str = "source", text: str = "text") -> DataFrame:
-    """``source, measure, length, n``: lengths (``chars`` or ``bytes``) at which the texts of a source pile up.
-
-    A length is a spike if at least ``FEWEST`` texts have it and ``EXCESS`` times as many as the mean of
-    the lengths up to ``AROUND`` away, not counting those up to ``NEAR`` away (limits are smeared when a cut
-    is moved to a word or trimmed) nor lengths that no longer occur because they lie beyond the limit.
+    """``source, measure, length, n, longer``: lengths (``chars`` or ``bytes``) at which the texts of a source pile up, and how many of its texts are longer.
+
+    The different texts of a length (counted in 64 cells by their hash, so copies of one page are no
+    pile) are compared with the mean of the lengths up to ``AROUND`` away on the side that has more,
+    not counting those up to ``NEAR`` away (limits are smeared when a cut is moved to a word or trimmed).
+    A length is a spike if so many would come by chance (Poisson, Chernoff's bound) with a probability
+    below ``CHANCE`` over all lengths of the source and measure. No length is left out. At a source's
+    maximum ``longer`` is 0 or nearly so.
     """
+    cell = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.conv(F.substring(F.md5(F.col(text)), 1, 2), 16, 10).cast("int"), F.lit(64)))
     both = F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.char_length(text).alias("length")), F.struct(F.lit("bytes").alias("measure"), F.octet_length(text).alias("length"))))
-    h = df.where(F.col(text).isNotNull()).select(F.col(source).alias("source"), both.alias("x")).select("source", "x.*").where("length > 0")
-    h = h.groupBy("source", "measure", "length").agg(F.count("*").alias("n"))
+    h = df.where(F.col(text).isNotNull()).select(F.col(source).alias("source"), cell.alias("cell"), both.alias("x")).select("source", "cell", "x.*").where("length > 0")
+    h = h.groupBy("source", "measure", "length").agg(F.count("*").alias("n"), F.bit_count(F.bit_or("cell")).alias("cells"))
+    # linear counting; all cells full says nothing against n
+    d = F.when(F.col("cells") < 64, F.least(F.col("n"), F.greatest(F.col("cells"), F.round(-64 * F.log(1 - F.col("cells") / 64))))).otherwise(F.col("n")).cast("double")
     w = Window.partitionBy("source", "measure").orderBy("length")
-    below = F.sum("n").over(w.rangeBetween(-AROUND, -NEAR - 1))
-    above = F.sum("n").over(w.rangeBetween(NEAR + 1, AROUND))
-    usual = F.greatest(F.coalesce(below, F.lit(0)), F.coalesce(above, F.lit(0))) / (AROUND - NEAR)
-    return h.withColumn("usual", usual).where((F.col("n") >= FEWEST) & (F.col("n") >= EXCESS * F.col("usual")) & (F.col("length") > AROUND)).drop("usual")
+    side = lambda a, b: F.coalesce(F.sum("d").over(w.rangeBetween(a, b)), F.lit(0.0)) + 1
+    below = side(-AROUND, -NEAR - 1) / F.greatest(F.lit(1), F.least(F.lit(AROUND), F.col("length") - 1) - NEAR)
+    above = side(NEAR + 1, AROUND) / (AROUND - NEAR)
+    whole = Window.partitionBy("source", "measure")
+    h = h.withColumn("d", d).withColumn("usual", F.greatest(F.when(F.col("length") > NEAR + 1, below).otherwise(F.lit(0.0)), above)).withColumn("tried", F.count("*").over(whole))
+    h = h.withColumn("longer", F.sum("n").over(whole) - F.sum("n").over(w))
+    odds = F.col("d") * F.log(F.col("d") / F.col("usual")) - F.col("d") + F.col("usual")
+    return h.where((F.col("d") > F.col("usual")) & (odds >= F.log(F.col("tried") / CHANCE))).select("source", "measure", "length", "n", "longer")
 
 
 def fit(df: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = FIT) -> Model:
     """The model, from about ``size`` texts picked by the hash of their key."""
-    d = df.where((F.char_length(text) > 0) & (F.char_length(text) <= FIT_CHARS))
-    n = max(df.count(), 1)
-    picked = d.where(F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(1 << 30)) < int(min(1.0, size / n) * (1 << 30)))
+    picked = df.where(F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(1 << 30)) < int(min(1.0, size / max(df.count(), 1)) * (1 << 30)))
+    picked = picked.where((F.char_length(text) > 0) & (F.char_length(text) <= FIT_CHARS))
     return Model(sorted(r[0] for r in picked.select(text).limit(2 * size).collect()))
 
 
+def last_line(text: Column) -> Column:
+    return F.substring_index(F.rtrim(text, F.lit(BLANKS)), "\n", -1)
+
+
+def at_spikes(df: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """``<key>, source, at_spike, ended, sure, last`` of every row, by built-in expressions.
+
+    ``ended`` tells that the last line has terminal punctuation or no letters; ``sure`` that nothing in
+    it (marks that may follow a cut, damaged characters) could make that wrong.
+    """
+    s = written(spikes(df, source=source, text=text), "spikes")  # as small as the number of limits; its size is known from the file
+    d = df.select(F.col(key), F.col(source).alias("source"), F.char_length(text).alias("chars"), F.octet_length(text).alias("bytes"), last_line(F.col(text)).alias("last"))
+    for m in ("chars", "bytes"):
+        x = s.where(F.col("measure") == m).select(F.col("source").alias("s_" + m), F.col("length").alias("l_" + m), F.lit(True).alias("at_" + m))
+        d = d.join(x, d["source"].eqNullSafe(x["s_" + m]) & (d[m] == x["l_" + m]), "left")
+    at = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
+    d = d.select(key, "source", at.alias("at_spike"), "last", F.right("last", F.lit(TAIL)).alias("tail"))
+    half = F.col("tail").rlike(HALF)
+    core = F.rtrim(F.regexp_replace("tail", MARKS, ""), F.lit(BLANKS))
+    d = d.select("*", core.alias("core"), half.alias("half"))
+    ended = (F.col("core").rlike(ENDS) & ~F.col("half")) | ~F.col("last").rlike(r"\p{L}")
+    sure = (F.col("core") == F.col("tail")) & ~F.col("half") & ~F.col("tail").rlike(r"[^\x00-\x7f]")
+    return d.select(key, "source", "at_spike", ended.alias("ended"), sure.alias("sure"), "last")
+
+
 def judged(df: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """``<key>, source, at_spike, cut`` for every row.
+    """``<key>, source, at_spike, cut, by`` for every row; ``by`` is ``spike`` or ``ending`` for texts that were cut, else null.
 
     * null, empty and blank texts aren't cut; a null source is a source of its own;
     * a text without any line before its last still counts; very long ones are judged by their whole last line;
     * repeated rows each give a row; an empty table gives no rows; other columns aren't read.
     """
     model = df.sparkSession.sparkContext.broadcast(fit(df, key=key, text=text))  # bounded by the sample
-    s = spikes(df, source=source, text=text)
-    last = F.substring_index(F.rtrim(F.col(text), F.lit(BLANKS)), "\n", -1)
-    d = df.select(F.col(key), F.col(source).alias("source"), F.char_length(text).alias("chars"), F.octet_length(text).alias("bytes"), last.alias("last"))
-    at = lambda m: s.where(F.col("measure") == m).select(F.col("source").alias("s_" + m), F.col("length").alias("l_" + m), F.lit(True).alias("at_" + m))
-    for m in ("chars", "bytes"):
-        x = at(m)
-        d = d.join(x, d["source"].eqNullSafe(x["s_" + m]) & (d[m] == x["l_" + m]), "left")
-    d = d.select(key, "source", (F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))).alias("at_spike"), "last")
+    d = at_spikes(df, key=key, source=source, text=text)
+    d = d.withColumn("by", F.when(F.col("at_spike") & F.col("sure") & ~F.col("ended"), "spike"))
+    # what is left to Python: endings that may be damaged or marked, and unfinished ones at other lengths
+    left = F.col("by").isNull() & ~(F.col("sure") & F.col("ended"))
+    d = d.select(key, "source", "at_spike", "by", F.when(left, F.col("last")).alias("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cut = [bool(x) and model.value.is_cut(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cut, pa.bool_())], [key, "source", "at_spike", "cut"])
+            by = b.column(3).to_pylist()
+            for i, (spike, line) in enumerate(zip(b.column(2).to_pylist(), b.column(4).to_pylist())):
+                if line:
+                    if spike and model.value.stops(line):
+                        by[i] = "spike"
+                    elif not spike and model.value.is_cut(line):
+                        by[i] = "ending"
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(by, pa.string())], [key, "source", "at_spike", "by"])
 
     kind = df.schema[key].dataType.simpleString()
-    return d.mapInArrow(run, f"`{key}` {kind}, source string, at_spike boolean, cut boolean")
+    d = d.mapInArrow(run, f"`{key}` {kind}, source string, at_spike boolean, by string")
+    return d.select(key, "source", "at_spike", F.col("by").isNotNull().alias("cut"), "by")
 
 
 def by_source(judgements: DataFrame) -> DataFrame:
-    """``source, n_docs, n_cut, n_at_spike, share`` of the documents of each source."""
-    cut = F.sum(F.col("cut").cast("long"))
-    return judgements.groupBy("source").agg(F.count("*").alias("n_docs"), cut.alias("n_cut"), F.sum((F.col("cut") & F.col("at_spike")).cast("long")).alias("n_at_spike"), (cut / F.count("*")).alias("share"))
+    """``source, n_docs, n_cut, n_spike, n_ending, share`` of the documents of each source: all that were cut, and those by each way."""
+    cut = F.count("by")
+    return judgements.groupBy("source").agg(F.count("*").alias("n_docs"), cut.alias("n_cut"), F.count_if(F.col("by") == "spike").alias("n_spike"), F.count_if(F.col("by") == "ending").alias("n_ending"), (cut / F.count("*")).alias("share"))

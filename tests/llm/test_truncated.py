@@ -49,10 +49,37 @@ def test_cuts_are_found(spark, corpus):
     assert len(got & cut) >= 0.97 * len(cut) and len(got - cut) <= 0.02 * len(cut)
     spikes = {(r.source, r.measure, r.length) for r in T.spikes(d).collect()}
     assert {("a", "chars", 300), ("a", "bytes", 300)} <= spikes and not {x for x in spikes if x[0] != "a"}
+    ways = {r.doc_id: (r.by, r.at_spike) for r in T.judged(d).where("cut").collect()}
+    assert {w for w in ways.values()} == {("spike", True), ("ending", False)}
     by = {r.source: r for r in T.by_source(T.judged(d)).collect()}
     assert sum(r.n_docs for r in by.values()) == 6000 and by["a"].share > 2 * by["b"].share
 
 
+@pytest.mark.parametrize("limit", [40, 100, 255, 600])
+def test_limits_of_any_length(spark, limit):
+    """Half of the texts of a source are cut at a limit, short limits too; copies of one page are no limit."""
+    rng = random.Random(limit)
+    rows = []
+    for i in range(400):
+        text = " ".join(sentence(rng) for _ in range(rng.randint(1, 12)))
+        rows.append((i, "a", text[:limit] if i % 2 else text))
+    rows += [(1000 + i, "b", "An error page that is the same for all") for i in range(200)] + [(2000 + i, "b", " ".join(sentence(rng) for _ in range(rng.randint(1, 12)))) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {(r.source, r.measure, r.length) for r in T.spikes(d).collect()}
+    assert got >= {("a", "chars", limit), ("a", "bytes", limit)}
+    assert len("An error page that is the same for all") not in {x for s, _, x in got if s == "b"}
+    want = {i for i, s, t in rows if s == "a" and len(t) == limit and not T._ENDS.search(t.rstrip())}
+    assert want <= {r.doc_id for r in T.judged(d).where("by = 'spike'").collect()}
+
+
+def test_built_in_endings_agree_with_python(spark, sf):
+    """Where built-in expressions are sure, the exact reading of the line is the same."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    m = T.Model([])
+    for r in T.at_spikes(d).where("sure AND last <> ''").collect():
+        assert r.ended == (m.stops(r["last"]) is None), r["last"][-60:]
+
+
 def test_held_out_accuracy_on_the_corpus(spark, sf):
     """Half of the pages fit the model; on the other half it tells cut lines from complete ones."""
     texts = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect() if r.text)
@@ -62,12 +89,12 @@ def test_held_out_accuracy_on_the_corpus(spark, sf):
         for line in [x for x in (T.plain(y).strip(T.BLANKS) for y in t.split("\n")) if x][:-1]:
             if not T._ENDS.search(line):
                 whole += 1
-                wrong += m.is_cut(line, False)
+                wrong += m.is_cut(line)
             elif len(line) > 40:
                 part = line[: rng.randint(25, len(line) - 1)].rstrip(T.BLANKS)
                 if not T._ENDS.search(part):
                     n += 1
-                    right += m.is_cut(part, False)
+                    right += m.is_cut(part)
     assert right >= 0.97 * n and wrong <= 0.01 * whole
 
 
@@ -76,6 +103,7 @@ def test_odd_texts(spark):
     d = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, source string, text string, bytes int, last string")
     got = T.judged(d).collect()
     assert len(got) == len(rows) and not any(r.cut for r in got if r.doc_id in (1, 2, 3, 4, 5))
+    assert {r.by for r in got} == {None} or {r.by for r in got if r.doc_id in (6, None)} <= {None, "ending"}
     assert T.judged(d.limit(0)).collect() == [] and T.by_source(T.judged(d.limit(0))).collect() == []
 
 
