@@ -8,10 +8,15 @@ bound), which is reported beside each count: ``n_distinct`` is too low by k or m
 at most ``collision_bound`` / k.
 
 Scale.  Tasks reduce their rows to runs before anything is shuffled, so a hot identifier or group is
-reduced where it lies.  Runs go to buckets so chosen that unions in different buckets have no hash of a
-group in common, hence counts add up: combinations that have the day are cut by day (days with more
-rows than a bucket should hold are cut further by hash range), the others by hash range alone.  All
-combinations of one kind are counted from the same shuffle. No group is ever in one place as a whole.
+reduced where it lies.  Runs are cut into *windows*, so chosen that unions in different windows have no
+hash of a group in common, hence counts add up: combinations that have the day are cut by day (days
+with more than ``WINDOW`` rows are cut further by hash range), the others by hash range alone.  A task
+gets the runs of its windows in order and holds one window at a time, about ``WINDOW`` hashes, however
+much it reads: a k-way union that goes through the hash space window by window.  Within a window runs
+are merged, not sorted anew: the order of all its hashes is found once, and merges of runs that are
+sorted already find the runs (a natural merge sort); a coarser combination merges the unions of the
+finer one instead of all runs again.  The number of tasks grows with the square root of the bytes, and
+so do the bytes of each.
 """
 
 from __future__ import annotations
@@ -24,13 +29,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.shared import partitions
+from quadrille.functions.shared import partitions, written
 
 FLUSH = 1 << 20
+#: Hashes that a task unites at once.
+WINDOW = 1 << 20
+#: A hash in a run takes about so many bytes.
+HASH_BYTES = 9
 NO_DAY = -(2**31)
-RUNS = "kind int, bucket int, field string, t int, p string, src_file string, n int, run binary"
-#: The combinations, by kind: with the day, without it.
-COMBOS = ((("t",), ("t", "p"), ("t", "src_file"), ("t", "p", "src_file")), (("p",), ("src_file",), ("p", "src_file")))
+RUNS = "kind int, bucket int, field string, t int, win int, p string, src_file string, n int, run binary"
+#: The combinations, by kind (with the day, without it), and the finer one of which each is made.
+COMBOS = (
+    ((("t", "p", "src_file"), None), (("t", "p"), 0), (("t", "src_file"), 0), (("t",), 1)),
+    ((("p", "src_file"), None), (("p",), 0), (("src_file",), 0)),
+)
 
 
 def encode(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,13 +94,26 @@ def _codes(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return e.indices.to_numpy().astype(np.int64), e.dictionary
 
 
-def union(group: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (group, hash) pairs, sorted: the union of all runs of every group."""
-    order = np.lexsort((h, group))
-    g, h = group[order], h[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1])
-    return g[new], h[new]
+def merged(group: np.ndarray, rank: np.ndarray, ranks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (group, rank) pairs in order, out of sorted runs that stand one behind the other.
+
+    Both are in one number, whose stable sort is a merge of the ascending runs it finds.
+    """
+    k = np.sort(group * ranks + rank, kind="stable")
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    k = k[new]
+    return k // ranks, k % ranks
+
+
+class Width:
+    """How a table of so many rows is cut: tasks, windows of the hash space in the part of a task, and rows that make a day hot."""
+
+    def __init__(self, rows: int, session: int, window: int = 0):
+        self.window = window or WINDOW
+        size = 2 * HASH_BYTES * rows  # two fields; each kind has as much
+        self.tasks = max(session, -(-int(size**0.5) // 256))
+        self.parts = max(1, -(-rows // (self.tasks * self.window)))
 
 
 class _Pairs:
@@ -102,7 +127,7 @@ class _Pairs:
             self.parts.append((t, p, src, h))
             self.n += len(h)
 
-    def runs(self, field: str, width: int, hot: dict[int, int], kinds: tuple[int, ...] = (0, 1)) -> Iterator[pa.RecordBatch]:
+    def runs(self, field: str, width: Width, hot: dict[int, int], kinds: tuple[int, ...] = (0, 1)) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
         t = np.concatenate([x[0] for x in self.parts]).astype(np.int64)
@@ -111,18 +136,18 @@ class _Pairs:
         h = np.concatenate([x[3] for x in self.parts])
         self.parts, self.n = [], 0
         high = h >> np.uint64(32)
-        cut = np.ones(len(t), np.int64)
-        for day, k in hot.items():
-            cut[t == day] = k
-        shard = ((high * cut.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
         days, day = np.unique(t, return_inverse=True)
+        cut = np.array([hot.get(x, 1) for x in days.tolist()], np.uint64)[day]
+        shard = ((high * cut) >> np.uint64(32)).astype(np.int64)
         for kind in kinds:
-            if kind == 0:  # one day, or one hash range of a hot day
-                bucket = ((t * 1000003 + shard * 7919) * 2654435761 % (1 << 31)) % width
+            if kind == 0:  # a window is one day, or one hash range of a hot day
+                win = shard
+                bucket = ((t * 1000003 + shard * 7919) * 2654435761 % (1 << 31)) % width.tasks
                 lead = day * (int(shard.max()) + 1) + shard
             else:
-                bucket = ((high * np.uint64(width)) >> np.uint64(32)).astype(np.int64)
-                lead = bucket
+                whole = ((high * np.uint64(width.tasks * width.parts)) >> np.uint64(32)).astype(np.int64)
+                bucket, win = whole // width.parts, whole % width.parts
+                lead = whole
             group = (lead * len(names) + p) * len(files) + s
             order = np.lexsort((h, group))
             g, x = group[order], h[order]
@@ -139,10 +164,10 @@ class _Pairs:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(f), kind, np.int32)), pa.array(bucket[f].astype(np.int32)), pa.array([field] * len(f)),
-                        pa.array(t[f].astype(np.int32) if kind == 0 else np.full(len(f), NO_DAY, np.int32)),
+                        pa.array(t[f].astype(np.int32) if kind == 0 else np.full(len(f), NO_DAY, np.int32)), pa.array(win[f].astype(np.int32)),
                         names.take(pa.array(p[f])), files.take(pa.array(s[f])), pa.array(counts[a : a + (1 << 14)].astype(np.int32)), run,
                     ],
-                    ["kind", "bucket", "field", "t", "p", "src_file", "n", "run"],
+                    ["kind", "bucket", "field", "t", "win", "p", "src_file", "n", "run"],
                 )
 
 
@@ -151,14 +176,20 @@ def _days(b: pa.RecordBatch) -> np.ndarray:
     return pc.fill_null(t, NO_DAY).to_numpy(zero_copy_only=False)
 
 
-def _cuts(by_day: DataFrame, width: int) -> dict[int, int]:
-    """Days with more than a bucket's share of rows, and into how many hash ranges to cut them: fewer than ``width`` days. ``by_day``: t, n."""
-    total = by_day.agg(F.sum("n")).first()[0] or 0
-    return {r["t"]: -(-r["n"] * width // total) for r in by_day.where(F.col("n") * width > total).collect()} if total else {}
+def _cuts(by_day: DataFrame, window: int) -> dict[int, int]:
+    """Days with more rows than a window, and into how many hash ranges to cut them: at most as many as the calendar has (3.7 million). ``by_day``: t, n."""
+    return {r["t"]: -(-r["n"] // window) for r in by_day.where(F.col("n") > window).collect()}
+
 
+def _cut(by_day: DataFrame, width: int | None, window: int | None) -> tuple[Width, dict[int, int]]:
+    by_day = written(by_day, "days")  # a row a day
+    rows = by_day.agg(F.sum("n")).first()[0] or 0
+    w = Width(rows, width or partitions(by_day.sparkSession), window or WINDOW)
+    return w, _cuts(by_day, w.window)
 
-def _hot_days(df: DataFrame, width: int) -> dict[int, int]:
-    return _cuts(df.groupBy(F.coalesce(F.unix_date("t"), F.lit(NO_DAY)).alias("t")).agg(F.count("*").alias("n")), width)
+
+def _by_day(df: DataFrame) -> DataFrame:
+    return df.groupBy(F.coalesce(F.unix_date("t"), F.lit(NO_DAY)).alias("t")).agg(F.count("*").alias("n"))
 
 
 def _hashes(run: pa.Array, n: np.ndarray) -> np.ndarray:
@@ -168,14 +199,24 @@ def _hashes(run: pa.Array, n: np.ndarray) -> np.ndarray:
     return decode(np.frombuffer(run.buffers()[2], np.uint8), offset[:-1], n)
 
 
-def build_runs(df: DataFrame, width: int | None = None) -> DataFrame:
+def cut_rows(df: DataFrame, width: int | None = None, window: int | None = None) -> tuple[Width, dict[int, int]]:
+    """How to cut a table: its tasks and its hot days. One pass over the days."""
+    return _cut(_by_day(df), width, window)
+
+
+def cut_runs(runs: DataFrame, width: int | None = None, window: int | None = None) -> tuple[Width, dict[int, int]]:
+    """The same for partial results."""
+    return _cut(runs.where("kind = 0").groupBy("t", "field").agg(F.sum("n").alias("n")).groupBy("t").agg(F.max("n").alias("n")), width, window)
+
+
+def build_runs(df: DataFrame, width: int | None = None, window: int | None = None, cut: tuple[Width, dict[int, int]] | None = None) -> DataFrame:
     """Mergeable partial results of ``t DATE, p, src_file, s, o``: runs that may be stored and merged later.
 
     Schema: see ``RUNS``; ``kind`` 0 has runs of (t, p, src_file), 1 of (p, src_file).
     Null identifiers don't count; null days, predicates and dumps are groups of their own.
+    ``width`` is the least number of tasks, the session's shuffle width if not given.
     """
-    width = width or partitions(df.sparkSession)
-    hot = _hot_days(df, width)
+    width, hot = cut or cut_rows(df, width, window)
     h = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))
     d = df.select(F.unix_date("t").alias("t"), "p", "src_file", h("s").alias("s"), h("o").alias("o"))
 
@@ -196,25 +237,24 @@ def build_runs(df: DataFrame, width: int | None = None) -> DataFrame:
     return d.mapInArrow(run, RUNS)
 
 
-def merge_runs(a: DataFrame, b: DataFrame, width: int | None = None) -> DataFrame:
+def merge_runs(a: DataFrame, b: DataFrame, width: int | None = None, window: int | None = None, cut: tuple[Width, dict[int, int]] | None = None) -> DataFrame:
     """Partial results of two sets of rows as one, however each was cut; counts are those of all rows together.
 
     Runs are cut anew for the days that are hot in both together, and united where a task meets them.
     """
     runs = a.unionByName(b)
-    width = width or partitions(runs.sparkSession)
-    hot = _cuts(runs.where("kind = 0").groupBy("t").agg(F.sum("n").alias("n")), width)
+    width, hot = cut or cut_runs(runs, width, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, str], _Pairs] = {}
         for x in batches:
-            kind, field, n = x.column(0).to_numpy(), np.array(x.column(2).to_pylist()), x.column(6).to_numpy().astype(np.int64)
+            kind, field, n = x.column(0).to_numpy(), np.array(x.column(2).to_pylist()), x.column(7).to_numpy().astype(np.int64)
             for key in set(zip(kind.tolist(), field.tolist())):
                 at = np.flatnonzero((kind == key[0]) & (field == key[1]))
                 part = x.take(pa.array(at))
                 each = pa.array(np.repeat(np.arange(len(at)), n[at]))
                 p = held.setdefault(key, _Pairs())
-                p.add(part.column(3).to_numpy()[each.to_numpy()], part.column(4).take(each), part.column(5).take(each), _hashes(part.column(7), n[at]))
+                p.add(part.column(3).to_numpy()[each.to_numpy()], part.column(5).take(each), part.column(6).take(each), _hashes(part.column(8), n[at]))
                 if p.n >= FLUSH:
                     yield from p.runs(key[1], width, hot, (key[0],))
         for (kind_, field_), p in held.items():
@@ -223,63 +263,98 @@ def merge_runs(a: DataFrame, b: DataFrame, width: int | None = None) -> DataFram
     return runs.mapInArrow(run, RUNS)
 
 
+def count_window(tab: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The counts of all combinations in the runs of one window, of one kind and field."""
+    kind, field = tab["kind"][0].as_py(), tab["field"][0].as_py()
+    n = tab["n"].to_numpy().astype(np.int64)
+    raw = tab["run"].combine_chunks()
+    if isinstance(raw, pa.ChunkedArray):
+        raw = pa.concat_arrays(raw.chunks)
+    distinct, rank = np.unique(_hashes(raw, n), return_inverse=True)
+    code, names = {}, {}
+    for c in ("t", "p", "src_file"):
+        code[c], names[c] = _codes(tab[c])
+    made: list[tuple[tuple[str, ...], np.ndarray, np.ndarray]] = []
+    for combo, finer in COMBOS[kind]:
+        if finer is None:
+            g = np.zeros(len(n), np.int64)
+            for c in combo:
+                g = g * len(names[c]) + code[c]
+            g, r = np.repeat(g, n), rank
+        else:  # groups of the finer combination without what the coarser one lacks
+            cols, g, r = made[finer]
+            parts = {}
+            for c in reversed(cols):
+                parts[c] = g % len(names[c])
+                g = g // len(names[c])
+            g = np.zeros(len(r), np.int64)
+            for c in combo:
+                g = g * len(names[c]) + parts[c]
+        u, r = merged(g, r, len(distinct))
+        made.append((combo, u, r))
+        starts = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
+        counts, u = np.diff(np.append(starts, len(u))), u[starts]
+        got = {}
+        for c in reversed(combo):
+            got[c] = names[c].take(pa.array(u % len(names[c])))
+            u = u // len(names[c])
+        for a in range(0, len(starts), 1 << 15):
+            m = len(counts[a : a + (1 << 15)])
+            cols = [got[c].slice(a, m) if c in got else pa.nulls(m, pa.int32() if c == "t" else pa.string()) for c in ("t", "p", "src_file")]
+            yield pa.RecordBatch.from_arrays([pa.array([",".join(combo)] * m), *cols, pa.array([field] * m), pa.array(counts[a : a + m])], ["dims", "t", "p", "src_file", "field", "n"])
+
+
 def count_runs(runs: DataFrame, width: int | None = None) -> DataFrame:
     """``dims, t, p, src_file, field, n_distinct, collision_bound`` for each day, predicate, dump and combination.
 
     ``dims`` names the combination, e.g. ``t,p``; columns that aren't in it are null. A group that
     has only null identifiers of a field has no row for it; an empty table gives no rows.
+    ``width`` is the number of tasks; if not given, the runs are asked for it (one column of stored ones).
     """
-    order = ["kind", "bucket", "field"]
-    part = runs.repartition(width or partitions(runs.sparkSession), *order).sortWithinPartitions(*order)
-
-    def counted(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tab = pa.Table.from_batches(rows).combine_chunks()
-        kind, field = tab["kind"][0].as_py(), tab["field"][0].as_py()
-        n = tab["n"].to_numpy().astype(np.int64)
-        raw = tab["run"].combine_chunks()
-        if isinstance(raw, pa.ChunkedArray):
-            raw = pa.concat_arrays(raw.chunks)
-        h = _hashes(raw, n)
-        code, names = {}, {}
-        for c in ("t", "p", "src_file"):
-            code[c], names[c] = _codes(tab[c])
-        for combo in COMBOS[kind]:
-            g = np.zeros(len(n), np.int64)
-            for c in combo:
-                g = g * len(names[c]) + code[c]
-            u, _ = union(np.repeat(g, n), h)
-            starts = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
-            counts, u = np.diff(np.append(starts, len(u))), u[starts]
-            got = {}
-            for c in reversed(combo):
-                got[c] = names[c].take(pa.array(u % len(names[c])))
-                u = u // len(names[c])
-            for a in range(0, len(starts), 1 << 15):
-                m = len(counts[a : a + (1 << 15)])
-                cols = [got[c].slice(a, m) if c in got else pa.nulls(m, pa.int32() if c == "t" else pa.string()) for c in ("t", "p", "src_file")]
-                yield pa.RecordBatch.from_arrays([pa.array([",".join(combo)] * m), *cols, pa.array([field] * m), pa.array(counts[a : a + m])], ["dims", "t", "p", "src_file", "field", "n"])
+    tasks = width or max(partitions(runs.sparkSession), (runs.agg(F.max("bucket")).first()[0] or 0) + 1)
+    part = runs.repartition(tasks, "kind", "bucket", "field").sortWithinPartitions("kind", "bucket", "field", "t", "win")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last = None
+        last, size = None, 0
         for b in batches:
             if not b.num_rows:
                 continue
-            k, u = b.column(0).to_numpy(), b.column(1).to_numpy()
+            num = [b.column(i).to_numpy() for i in (0, 1, 3, 4)]
             f, _ = _codes(b.column(2))
-            cuts = [0, *np.flatnonzero((k[1:] != k[:-1]) | (u[1:] != u[:-1]) | (f[1:] != f[:-1])) + 1, b.num_rows]
+            new = np.ones(b.num_rows, bool)  # a window begins
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in (*num, f)])
+            cuts = [*np.flatnonzero(new), b.num_rows]
+            whole = np.append(0, np.cumsum(b.column(7).to_numpy().astype(np.int64)))
             for x, y in zip(cuts, cuts[1:]):
-                key = (int(k[x]), int(u[x]), b.column(2)[x].as_py())
-                if held and key != last:
-                    yield from counted(held)
-                    held = []
+                at = (int(num[0][x]), b.column(2)[x].as_py(), int(num[1][x]), int(num[2][x]), int(num[3][x]))
+                # windows are independent; small ones of a kind and field go together
+                if held and at != last and (at[:2] != last[:2] or size + whole[y] - whole[x] > WINDOW):
+                    yield from count_window(pa.Table.from_batches(held).combine_chunks())
+                    held, size = [], 0
                 held.append(b.slice(x, y - x))
-                last = key
+                last, size = at, size + whole[y] - whole[x]
         if held:
-            yield from counted(held)
+            yield from count_window(pa.Table.from_batches(held).combine_chunks())
 
     c = part.mapInArrow(run, "dims string, t int, p string, src_file string, field string, n bigint")
     c = c.groupBy("dims", "t", "p", "src_file", "field").agg(F.sum("n").alias("n_distinct"))
     day = F.when(F.col("t") != NO_DAY, F.date_from_unix_date("t"))
     n = F.col("n_distinct").cast("double")
     return c.select("dims", day.alias("t"), "p", "src_file", "field", "n_distinct", (n * (n - 1) / F.lit(2.0**65)).alias("collision_bound"))
+
+
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """The counts of a table, by way of runs that go from the tasks that make them straight to those that unite them."""
+    cut = cut_rows(df)
+    return count_runs(build_runs(df, cut=cut), cut[0].tasks)
+
+
+def stored_counts(parts: list[DataFrame]) -> DataFrame:
+    """The counts of tables together, out of partial results that are stored for each."""
+    runs = [written(build_runs(p), "runs") for p in parts]
+    both = runs[0]
+    for r in runs[1:]:
+        cut = cut_runs(both.unionByName(r))
+        both = merge_runs(both, r, cut=cut)
+    return count_runs(both, cut[0].tasks if len(runs) > 1 else None)

@@ -20,15 +20,14 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return distinct_runs.count_runs(distinct_runs.build_runs(table(spark, d, "temporal_quads")))
+    return distinct_runs.distinct_counts(table(spark, d, "temporal_quads"))
 
 
 def p6_merged(spark: SparkSession, d: str) -> DataFrame:
-    """The same counts out of two partial results, of the days up to a date and of all other rows."""
+    """The same counts out of two stored partial results, of the days up to a date and of all other rows."""
     q = table(spark, d, "temporal_quads")
     early = F.coalesce(F.col("t") < F.lit("2022-07-01").cast("date"), F.lit(False))
-    parts = [distinct_runs.build_runs(q.where(early)), distinct_runs.build_runs(q.where(~early))]
-    return distinct_runs.count_runs(distinct_runs.merge_runs(*parts))
+    return distinct_runs.stored_counts([q.where(early), q.where(~early)])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

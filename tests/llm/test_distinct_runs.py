@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quadrille.llm import distinct_runs as R
 
@@ -49,12 +50,13 @@ def test_partial_results_merge(spark, tmp_path):
     halves = [rows[:1200] + rows[2500:], rows[1000:2600]]
     for i, (h, width) in enumerate(zip(halves, (3, 16))):
         d = spark.createDataFrame(h, SCHEMA)
-        assert R._hot_days(d, width)
-        R.build_runs(d, width).write.parquet(str(tmp_path / f"r{i}"))
+        assert R._cut(R._by_day(d), width, 300)[1]
+        R.build_runs(d, width, 300).write.parquet(str(tmp_path / f"r{i}"))
     a, b = (spark.read.parquet(str(tmp_path / f"r{i}")) for i in (0, 1))
-    assert R._hot_days(spark.createDataFrame(halves[0], SCHEMA), 3) != R._hot_days(spark.createDataFrame(halves[1], SCHEMA), 16)
-    for width in (None, 1, 16):
-        assert counted(R.merge_runs(a, b, width), width) == brute(rows)
+    days = [R._cut(R._by_day(spark.createDataFrame(h, SCHEMA)), 3, 300)[1] for h in halves]
+    assert days[0] != days[1]
+    for width, window in ((None, None), (1, 50), (16, 1000)):
+        assert counted(R.merge_runs(a, b, width, window), width) == brute(rows)
         assert counted(R.merge_runs(a, a, width), width) == brute(halves[0])
     once = R.merge_runs(a, b, 5)
     assert counted(R.merge_runs(once, b, 7), 7) == brute(rows)
@@ -65,8 +67,19 @@ def test_hot_day_and_flushes(spark, monkeypatch):
     monkeypatch.setattr(R, "FLUSH", 500)
     rows = some(3)
     d = spark.createDataFrame(rows, SCHEMA)
-    assert any(k > 1 for k in R._hot_days(d, 16).values())
-    assert counted(R.build_runs(d, 16), 16) == brute(rows)
+    monkeypatch.setattr(R, "WINDOW", 200)
+    w, hot = R._cut(R._by_day(d), 3, 200)
+    assert any(k > 1 for k in hot.values()) and w.parts > 1
+    runs = R.build_runs(d, 3, 200)
+    assert counted(runs, 3) == brute(rows)
+    # no task holds more than a window at once, but for one day's or range's own spread
+    sizes = [r.n for r in runs.groupBy("kind", "bucket", "field", "t", "win").agg(F.sum("n").alias("n")).collect()]
+    assert max(sizes) <= 2 * 200
+
+
+def test_tasks_grow_with_the_root():
+    assert [R.Width(n, 8).tasks for n in (10, 10**6, 10**8, 10**10)] == [8, 17, 166, 1658]
+    assert R.Width(10**10, 8).parts == 6 and R.Width(10**6, 8).parts == 1
 
 
 def test_bound_and_empty(spark):
