@@ -44,9 +44,13 @@ OTHER, LETTER, NUMBER, BLANK = range(4)
 
 @lru_cache(2)
 def merger(path: str):
-    """Exact merges of one word's bytes."""
+    """Exact merges of one word's bytes, by the vocabulary file at this path, or where there is none, by the one ``ship`` has sent."""
     import tiktoken
 
+    if not os.path.exists(path):  # on another machine: the copy that was sent along
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     one = {k: [v] for k, v in ranks.items()}
@@ -174,6 +178,12 @@ def publish(spark: SparkSession, content: bytes) -> str:
     return path
 
 
+def ship(spark: SparkSession, vocabulary: str) -> None:
+    """Sends the driver's vocabulary file (a megabyte or so) to all executors, late ones too."""
+    if os.path.exists(vocabulary):
+        spark.sparkContext.addFile(vocabulary)
+
+
 @lru_cache(4)
 def mapped(path: str) -> lex.Lexicon:
     if "://" in path:
@@ -200,6 +210,7 @@ def frequent_words(counts: DataFrame, size: int) -> list[bytes]:
 
 def compile_lexicon(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, size: int = WORDS) -> str:
     """Counts the words of all texts and publishes the transducer of the most frequent ones, ``size`` at most."""
+    ship(df.sparkSession, vocabulary)
     merge = merger(vocabulary)
     ws = sorted(frequent_words(written(word_counts(df, text), "words"), size))
     return publish(df.sparkSession, lex.dump(lex.build(ws, [merge(w) for w in ws])))
@@ -258,6 +269,7 @@ def encode(df: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary
     * texts are taken whole, whatever their length; an empty table gives no rows;
     * other columns aren't read.
     """
+    ship(df.sparkSession, vocabulary)
     path = lexicon or compile_lexicon(df, text, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,3 +280,27 @@ def encode(df: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+
+
+def decode(df: DataFrame, *, key: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
+    """``<key>, bytes``: the bytes that lists of token ids stand for; null for a null list."""
+    ship(df.sparkSession, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = pieces(vocabulary)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else b"".join([word[i] for i in x]) for x in b.column(1).to_pylist()], pa.binary())], [key, "bytes"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, ids).mapInArrow(run, f"`{key}` {kind}, bytes binary")
+
+
+@lru_cache(2)
+def pieces(path: str) -> dict[int, bytes]:
+    """The bytes of every id."""
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
+    with open(path, "rb") as f:
+        return {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}

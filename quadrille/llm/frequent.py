@@ -142,14 +142,18 @@ def frequent(df: DataFrame, columns: Sequence[str], share: float = SHARE, width:
         items += [(c, int(h), float(e)) for h, e in zip(heavy, est)]
     if not items:
         return spark.createDataFrame([], "field string, item string, n bigint, estimate double, share double")
-    # second scan: only candidates pass the filter, which runs before any shuffle
-    wide = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("item"), _hash(c).alias("h")) for c in columns])
-    rows = df.select(F.explode(wide).alias("x")).select("x.*").where(F.col("item").isNotNull())
-    among = F.lit(False)
+    # second scan: a row brings only those of its values that are candidates, before anything is made of it
+    wide = []
     for c in columns:
-        if hs := [h for f, h, _ in items if f == c]:
-            among = among | ((F.col("field") == c) & F.col("h").isin(hs))
-    counted = rows.where(among).groupBy("field", "item", "h").agg(F.count("*").alias("n"))
+        hs = [h for f, h, _ in items if f == c]
+        cond = F.col(f"h_{c}").isin(hs) if hs else F.lit(False)
+        wide.append(F.when(cond, F.struct(F.lit(c).alias("field"), F.col(f"v_{c}").alias("item"), F.col(f"h_{c}").alias("h"))))
+    d = df.select(*[F.col(c).cast("string").alias(f"v_{c}") for c in columns], *[F.when(F.col(c).isNotNull(), _hash(c)).alias(f"h_{c}") for c in columns])
+    any_ = F.lit(False)
+    for c in columns:
+        any_ = any_ | F.col(f"h_{c}").isin([h for f, h, _ in items if f == c] or [-1])
+    rows = d.where(any_).select(F.explode(F.array_compact(F.array(*wide))).alias("x")).select("x.*")
+    counted = rows.groupBy("field", "item", "h").agg(F.count("*").alias("n"))
     # bounded by the candidates, about 2/share for each column
     known = spark.createDataFrame([(*x, float(total[x[0]])) for x in items], "field string, h bigint, estimate double, total double")
     out = counted.join(F.broadcast(known), ["field", "h"]).withColumn("share", F.col("n") / F.col("total"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.functions.shared import table
+from quadrille.functions.shared import table, written
 from quadrille.llm import copies, distinct_runs, encode, frequent, pack, truncated
 
 SHARE = 0.005
@@ -44,6 +44,34 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
 
+def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, and those whose ids stand for exactly the bytes of their text (none for null texts)."""
+    docs = table(spark, d, "documents")
+    back = encode.decode(encode.encode(docs))
+    same = F.col("bytes") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return docs.select("doc_id", "text").join(back, "doc_id", "left").agg(F.count("*").alias("n_docs"), F.count_if(same).alias("n_equal"))
+
+
+def p8_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Documents packed, and what breaks the rules: documents lost or cut needlessly, tokens left out or packed twice, containers over capacity, containers beyond the least number and 1 %."""
+    packed = written(pack.pack(table(spark, d, "documents")), "packed")
+    cap = pack.CAPACITY
+    size = encode.encode(table(spark, d, "documents")).select("doc_id", F.size("ids").cast("long").alias("size"))
+    docs = packed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"), F.count_distinct("first_token").alias("starts"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    j = size.join(docs, "doc_id", "left")
+    lost = F.col("pieces").isNull() | ((F.col("pieces") > 1) & (F.col("size") <= cap))
+    wrong = ~((F.col("tokens") == F.col("size")) & (F.col("starts") == F.col("pieces")) & (F.col("end") == F.col("size")))
+    a = j.agg(F.count("*").alias("n_docs"), F.count_if(lost).alias("lost_or_cut"), F.count_if(wrong).alias("tokens_wrong"), F.sum("size").alias("total"))
+    boxes = packed.groupBy("container").agg(F.sum("n_tokens").alias("filled")).agg(F.count_if(F.col("filled") > cap).alias("too_full"), F.count_if(F.col("filled") > 0).alias("boxes"))
+    return a.join(F.broadcast(boxes)).select("n_docs", "lost_or_cut", "tokens_wrong", "too_full", (F.col("boxes") <= F.ceil(F.col("total") / cap) * 1.01 + 1).alias("tight"))  # one row each
+
+
+def p2_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """The heavy values, and whether the sketch's estimate is within a tenth of the threshold of the exact count."""
+    f = frequent.frequent(table(spark, d, "temporal_quads"), ["p", "o"], SHARE)
+    return f.select("field", "item", (F.abs(F.col("estimate") - F.col("n")) <= F.col("n") / F.col("share") * SHARE / 10).alias("near"))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(table(spark, d, "documents"))
 
@@ -70,7 +98,7 @@ def p9_spikes(spark: SparkSession, d: str) -> DataFrame:
     return truncated.spikes(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p5_found, p5_records, p6_distinct, p6_merged, p7_ids, p8_containers, p9_found, p9_by_way, p9_by_source, p9_at_spikes, p9_spikes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p2_estimates, p5_found, p5_records, p6_distinct, p6_merged, p7_ids, p7_roundtrip, p8_containers, p8_rules, p9_found, p9_by_way, p9_by_source, p9_at_spikes, p9_spikes)}
 
 _HEAVY = f"""
 SELECT '{{c}}' AS field, {{c}} AS item, count(*) AS n FROM temporal_quads WHERE {{c}} IS NOT NULL
@@ -125,6 +153,9 @@ ORACLE_SQL = {
     "p5_records": f"SELECT keep_id, n FROM ({_KEPT}) WHERE rec_id = keep_id",
     "p2_found": f"SELECT field, item FROM ({_BOTH})",
     "p2_counts": _BOTH,
+    "p2_estimates": f"SELECT field, item, true AS near FROM ({_BOTH})",
+    "p7_roundtrip": "SELECT count(*) AS n_docs, count(*) AS n_equal FROM documents",
+    "p8_rules": "SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS lost_or_cut, CAST(0 AS BIGINT) AS tokens_wrong, CAST(0 AS BIGINT) AS too_full, true AS tight FROM documents",
     "p6_distinct": "SELECT *, CAST(n_distinct AS DOUBLE) * (CAST(n_distinct AS DOUBLE) - 1) / 36893488147419103232.0::DOUBLE AS collision_bound FROM ("
     + _SETS.format(c="s") + " UNION ALL " + _SETS.format(c="o") + ")",
 }
