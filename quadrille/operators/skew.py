@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quadrille.functions.shared import partitions
+from quadrille.functions.shared import partitions, written
 
 
 def _codes(carry: pa.Scalar | None, col: pa.Array) -> np.ndarray:
@@ -97,8 +97,9 @@ def partial_states(df: DataFrame, key: str, secondary: str | None, *, value: str
     ties = [F.col(t) if isinstance(t, str) else t for t in tie]
     d = df.select(F.col(key).alias("k"), sec.alias("c"), val.alias("v"), *[t.alias(f"x{i}") for i, t in enumerate(ties)])
     d = d.withColumn("v", F.coalesce("v", F.lit(0).cast("long")))
-    if not ties:
-        d = d.withColumn("x0", F.monotonically_increasing_id())
+    if not ties:  # rows with equal content can stand for each other, so where a task that runs again numbers them anew nothing changes
+        d = df.select(F.col(key).alias("k"), sec.alias("c"), val.alias("v"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("x0"), F.monotonically_increasing_id().alias("x1"))
+        d = d.withColumn("v", F.coalesce("v", F.lit(0).cast("long")))
     order = ["k", "c", "v", *[c for c in d.columns if c[0] == "x"]]
     d = d.repartitionByRange(width or partitions(df.sparkSession), *order).sortWithinPartitions(*order).select("k", "c", "v")
     out = T.StructType().add("part", "integer").add("k", d.schema["k"].dataType).add("n", "long").add("runs", "long").add("c_first", d.schema["c"].dataType).add("c_last", d.schema["c"].dataType).add("vsum", "long").add("v_last", "long")
@@ -121,7 +122,7 @@ def per_key(df: DataFrame, key: str, secondary: str | None = None, *, value: str
 
     * a null key is a key of its own; repeated rows all count in ``n``;
     * rows are spread by (key, secondary, value, tie-breaker), so equal rows may be parted too; without
-      ``tie`` the position of a row in the input is used;
+      ``tie`` a hash of the whole row and then its position in the input is used;
     * ties of ``value`` need no rule, only the greatest is summed; an empty table gives no rows;
     * only the named columns are read, others may have any name.
     """
@@ -129,6 +130,7 @@ def per_key(df: DataFrame, key: str, secondary: str | None = None, *, value: str
 
 
 def hot_keys(df: DataFrame, key: str, share: float, *, tie: Sequence[str | Column] = (), width: int | None = None) -> DataFrame:
-    """Keys that hold at least ``share`` of all rows (rows with null keys count in the total): ``k, n``."""
-    total = df.count()
-    return per_key(df, key, tie=tie, width=width).where(F.col("k").isNotNull() & (F.col("n") >= share * total)).select("k", "n")
+    """Keys that hold at least ``share`` of all rows (rows with null keys count in the total): ``k, n``. The total is the sum over the keys."""
+    keys = written(per_key(df, key, tie=tie, width=width), "keys")  # a row a key
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    return keys.where(F.col("k").isNotNull() & (F.col("n") >= share * total)).select("k", "n")

@@ -153,6 +153,13 @@ def test_reaches_ends_on_a_cycle(spark):
     assert ask(s, "SELECT ?x { ?x ?p ?o . filter(?x reaches <d> via <sub>) }") == {("b",), ("c",), ("d",)}
 
 
+def test_reaches_along_a_long_path(spark, monkeypatch):
+    monkeypatch.setattr("quadrille.operators.paths.FOLD", 3)
+    rows = [(f"n{i}", "sub", f"n{i + 1}", D(2022, 1, 1)) for i in range(8)] + [("n2", "sub", "n0", D(2022, 1, 1))]
+    s = Store.of_quads(spark.createDataFrame(rows, "s string, p string, o string, t date"))
+    assert ask(s, "SELECT ?x { ?x ?p ?o . filter(?x reaches <n7> via <sub>) }") == {(f"n{i}",) for i in range(8)}
+
+
 def test_pattern_order_does_not_matter(store):
     pats = ["?x <worksFor> ?d .", "?d <partOf> ?u .", "?x <degreeFrom> ?u ."]
     assert {frozenset(ask(store, f"SELECT ?x ?d ?u {{ {' '.join(p)} }}")) for p in itertools.permutations(pats)} == {frozenset(T3)}
