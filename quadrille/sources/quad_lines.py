@@ -3,12 +3,13 @@
 A good line is ``<s> <p> <o> <t> .`` or ``<s> <p> "literal" <t> .`` with an optional ``@lang`` or
 ``^^<type>`` directly behind the literal, terms parted by spaces or tabs.
 
-Method.  The lines of a task are parsed in blocks: one pass of a compiled expression over the joined
-block yields its columns, or refuses the block as a whole when any of its lines is faulty.  A refused
-block is cut in halves again and again, so that good runs stay on this path and the faulty lines end
-up alone; only those meet the strict scanner, which names the reason.  A block's
-first size follows the share of faulty lines met so far in the same file (group testing), so a dirty
-file isn't parsed over and over and a clean one is parsed in large blocks.
+Method.  The lines of a batch are parsed column by column from their bytes: where brackets, quotes and
+blanks stand is found once for the whole batch, and every step (subject closed, day exists, ...) is one
+operation on all lines, which leaves columns of term positions and a running count of lines that didn't
+go through.  Blocks of lines are then taken as a whole, or refused when any of their lines is faulty;
+refused blocks are halved again and again, by the running count and without parsing anything twice, so
+that good runs stay columns and the faulty lines end up alone.  Only those meet the strict scanner,
+which names the reason.
 
 Nothing is shuffled: the parse is one pass over the scan, whatever the size of the input.
 """
@@ -27,15 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 IRI = r'<[^ \t<>"]+>'
-LITERAL = r'"(?:[^"\\]|\\.)+"'
 TAG = rf"@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{IRI}"
-#: One line, in the common subset of RE2 (columnar path), Python and DuckDB.
+#: One line, as an expression; it serves to take a line apart that the strict scanner finds good.
 LINE = (
     r'(?s)^[ \t]*<(?P<s>[^ \t<>"]+)>[ \t]+<(?P<p>[^ \t<>"]+)>[ \t]+'
     rf'(?:<(?P<iri>[^ \t<>"]+)>|"(?P<lit>(?:[^"\\]|\\.)+)"(?:{TAG})?)[ \t]+'
     r"<(?P<t>[0-9]{4}-[0-9]{2}-[0-9]{2})>[ \t]*\.[ \t]*\r?$"
 )
-LARGEST, SMALLEST, ALONE = 4096, 8, 2
+BLOCK = 4096
 
 #: Reasons, in the order in which the strict scanner meets them.
 REASONS = (
@@ -47,45 +47,142 @@ REASONS = (
 )
 
 
-#: The same within a block of lines joined by line feeds, each of which then gives one match at most.
-_BLOCK = re.compile(LINE.replace("(?s)", "(?m)").replace(r'[^"\\]|\\.', r'[^"\\\n]|\\[^\n]').replace("?P<", "?P<_"))
-
-
-class BlockRefused(ValueError):
-    """A block holds at least one line that isn't a quad."""
-
-
-class _Days(dict):
-    """Whether a text is an existing day; each text is looked at once."""
-
-    def __missing__(self, text: str) -> bool:
-        try:
-            dt.date.fromisoformat(text)
-            ok = True
-        except ValueError:
-            ok = False
-        if len(self) < 1 << 16:
-            self[text] = ok
-        return ok
+def _bytes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of lines, one behind the other, and where each begins (and the last ends)."""
+    x = lines.cast(pa.large_string())
+    offset = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1]
+    data = np.frombuffer(x.buffers()[2], np.uint8)[offset[0] : offset[-1]] if x.buffers()[2] else np.zeros(0, np.uint8)
+    return data, offset - offset[0]
+
+
+def _gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The texts at these places."""
+    offset = np.concatenate([[0], np.cumsum(end - start)])
+    at = np.repeat(start - offset[:-1], end - start) + np.arange(offset[-1])
+    kind = (pa.string(), np.int32) if offset[-1] < 1 << 31 else (pa.large_string(), np.int64)
+    return pa.Array.from_buffers(kind[0], len(start), [None, pa.py_buffer(offset.astype(kind[1])), pa.py_buffer(np.ascontiguousarray(data[at]))])
+
+
+def _days(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Days since 1970 of rows of ten bytes YYYY-MM-DD, and whether each is an existing day."""
+    digit = text[:, [0, 1, 2, 3, 5, 6, 8, 9]].astype(np.int64) - 48
+    ok = ((digit >= 0) & (digit <= 9)).all(axis=1) & (text[:, 4] == 45) & (text[:, 7] == 45)
+    y, m, d = digit[:, :4] @ [1000, 100, 10, 1], digit[:, 4:6] @ [10, 1], digit[:, 6:] @ [10, 1]
+    ok &= (y >= 1) & (m >= 1) & (m <= 12) & (d >= 1)
+    first = np.where(ok, (y - 1970) * 12 + m - 1, 0).astype("datetime64[M]")
+    ok &= first.astype("datetime64[D]").astype(np.int64) + d <= (first + 1).astype("datetime64[D]").astype(np.int64)
+    return first.astype("datetime64[D]").astype(np.int64) + d - 1, ok
+
+
+class Columns:
+    """The lines of a batch taken apart, column by column; ``good`` tells which went through all steps."""
+
+    def __init__(self, lines: pa.Array):
+        self.data, offset = data, offset = _bytes(lines)
+        size = len(data)
+        begin, end = offset[:-1], offset[1:]
+        padded = np.append(data, np.zeros(1, np.uint8))
+        blank = (data == 32) | (data == 9)
+        blanks = np.append(0, np.cumsum(blank, dtype=np.int64))
+        after = lambda where, at: np.append(where, [size, size])[np.searchsorted(where, at)]  # the first of some places from here on
+        before = lambda where, at: np.append(where, -1)[np.searchsorted(where, at) - 1]  # the last one before
+        opens, closes, quotes, full = (np.flatnonzero(x) for x in (data == 60, data == 62, data == 34, ~blank))
+        # a quote is part of a literal if an odd number of backslashes stands before it
+        free = quotes[self._even(quotes)] if len(quotes) else quotes
+
+        def iri(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Where the bracket that is open here closes, and whether an IRI stands between."""
+            close = after(closes, at)
+            inner = (after(opens, at + 1) > close) & (after(quotes, at) > close) & (blanks[close] == blanks[np.minimum(at, size)])
+            return close, (padded[np.minimum(at, size)] == 60) & (close > at + 1) & inner
+
+        # from the right: dot, day
+        last = end - ((end > begin) & (padded[end - 1] == 13))
+        dot = before(full, last)
+        shut = before(full, np.maximum(dot, 0))
+        t = shut - 11  # where the day is opened
+        good = (t > begin) & (padded[dot] == 46) & (padded[shut] == 62) & (padded[np.maximum(t, 0)] == 60)
+        self.day, exists = _days(padded[np.maximum(t, 0)[:, None] + np.arange(1, 11)]) if size > 11 else (np.zeros(len(begin), np.int64), np.zeros(len(begin), bool))
+        good &= exists
+        # from the left: subject, predicate
+        s = after(full, begin)
+        s_end, ok = iri(s)
+        good &= ok
+        p = after(full, np.minimum(s_end + 1, size))
+        good &= p > s_end + 1
+        p_end, ok = iri(p)
+        good &= ok & (p_end < t)
+        # between: the object
+        o, o_last = after(full, np.minimum(p_end + 1, size)), before(full, np.maximum(t, 0))
+        good &= (o > p_end + 1) & (o <= o_last) & (o_last < t - 1)
+        o_end, named = iri(o)
+        named &= o_end == o_last
+        literal = padded[np.minimum(o, size)] == 34
+        quote = after(free, np.minimum(o + 1, size))
+        literal &= (quote > o + 1) & (quote <= o_last)
+        tagged = np.flatnonzero(good & literal & (quote < o_last))
+        if len(tagged):
+            tags = _gather(data, quote[tagged] + 1, o_last[tagged] + 1).dictionary_encode()
+            fits = np.array([bool(re.fullmatch(TAG, x)) for x in tags.dictionary.to_pylist()])
+            literal[tagged] = fits[tags.indices.to_numpy()]
+        self.good = good & (named | literal)
+        self.terms = (s + 1, s_end), (p + 1, p_end), (o + 1, np.where(literal, quote, o_end))
+        self.literal = literal
+        self.faults = np.append(0, np.cumsum(~self.good))
+
+    def _even(self, quotes: np.ndarray) -> np.ndarray:
+        """Whether an even number of backslashes stands before each of these places."""
+        if not (self.data == 92).any():
+            return np.ones(len(quotes), bool)
+        run = np.zeros(len(quotes), np.int64)
+        at = np.arange(len(quotes))
+        while len(at):
+            back = quotes[at] - 1 - run[at]
+            at = at[(back >= 0) & (self.data[np.maximum(back, 0)] == 92)]
+            run[at] += 1
+        return run % 2 == 0
+
+    def refused(self, a: int, b: int) -> bool:
+        """Whether any line of a block is faulty."""
+        return bool(self.faults[b] > self.faults[a])
+
+    def of(self, rows: np.ndarray) -> list[pa.Array]:
+        """``s, p, o, t`` of good lines."""
+        s, p, o = (_gather(self.data, a[rows], b[rows]) for a, b in self.terms)
+        return [s, p, unescape(o, self.literal[rows]), pa.array(self.day[rows].astype(np.int32), pa.int32()).cast(pa.date32())]
+
+
+def isolate(block: Columns, n: int, size: int = BLOCK) -> tuple[list[tuple[int, int]], list[int]]:
+    """The blocks that are taken as a whole, and the faulty lines: refused blocks are halved until such a line stands alone."""
+    whole, alone = [], []
+    todo = [(a, min(a + size, n)) for a in range(0, n, size)][::-1]
+    while todo:
+        a, b = todo.pop()
+        if not block.refused(a, b):
+            whole.append((a, b))
+        elif b - a == 1:
+            alone.append(a)
+        else:
+            todo += [((a + b) // 2, b), (a, (a + b) // 2)]
+    return whole, alone
 
 
-_DAYS = _Days()
+def unescape(texts: pa.Array, literal: np.ndarray) -> pa.Array:
+    """The texts, literals among them without their escapes; only those that hold a backslash are touched one by one."""
+    odd = np.flatnonzero(pc.match_substring(texts, "\\").to_numpy(zero_copy_only=False) & literal)
+    if not len(odd):
+        return texts
+    new = pa.array([unescaped(x) for x in texts.take(pa.array(odd)).to_pylist()], texts.type)
+    mask = np.zeros(len(texts), bool)
+    mask[odd] = True
+    return pc.replace_with_mask(texts, pa.array(mask), new)
 
 
-def parse_block(lines: Sequence[str]) -> list[tuple[str, ...]]:
-    """(s, p, iri, literal, t) of every line of a block, in one pass over the block; refuses it if any line is faulty."""
-    got = _BLOCK.findall("\n".join(lines))
-    if len(got) != len(lines) or not all([_DAYS[x[4]] for x in got]):
-        raise BlockRefused
-    return got
+_PLAIN = {"t": "\t", "n": "\n", "r": "\r"}
 
 
-def unescape(literals: pa.Array) -> pa.Array:
-    """Literals without their escapes; only those that hold a backslash are touched one by one."""
-    if not pc.any(pc.match_substring(literals, "\\")).as_py():
-        return literals
-    plain = {"t": "\t", "n": "\n", "r": "\r"}
-    return pa.array([re.sub(r"(?s)\\(.)", lambda m: plain.get(m[1], m[1]), x) if "\\" in x else x for x in literals.to_pylist()], pa.string())
+def unescaped(text: str) -> str:
+    return re.sub(r"(?s)\\(.)", lambda m: _PLAIN.get(m[1], m[1]), text)
 
 
 _TERM = {"subject": 0, "predicate": 1, "object": 2, "time": 3}
@@ -155,70 +252,25 @@ def diagnose(line: str) -> str | None:
     return "text after the dot" if blanks(at + 1) < end else None
 
 
-def _sort_out(lines: list[str], size: int) -> tuple[list[int], list[tuple[str, ...]], list[int]]:
-    """Positions and parts of the good lines, positions of the others. Blocks have ``size`` lines at first."""
-    good, parts, bad = [], [], []
-    todo = [(a, min(a + size, len(lines))) for a in range(0, len(lines), size)][::-1]
-    while todo:
-        a, b = todo.pop()
-        try:
-            parts += parse_block(lines[a:b])
-            good += range(a, b)
-        except BlockRefused:
-            if b - a < ALONE:
-                bad.append(a)
-            else:
-                todo += [((a + b) // 2, b), (a, (a + b) // 2)]
-    return good, parts, bad
-
-
-def _parser(line: str, file: str | None, keep: Sequence[str], schema: pa.Schema):
+def _parser(line: str, keep: Sequence[str], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict = {}
         for batch in batches:
-            names = batch.schema.names
-            lines = batch.column(names.index(line)).cast(pa.string())
+            lines = batch.column(batch.schema.names.index(line)).cast(pa.string())
             trimmed = pc.ascii_trim(lines, " \t\r\n")
             real = pc.and_kleene(pc.not_equal(trimmed, ""), pc.invert(pc.starts_with(lines, "#")))
             rows = np.flatnonzero(pc.fill_null(real, False).to_numpy(zero_copy_only=False))
             if not len(rows):
                 continue
-            if file is not None:  # lines of one file together
-                code = pc.fill_null(batch.column(names.index(file)).cast(pa.string()), "").dictionary_encode()
-                files, code = code.dictionary.to_pylist(), code.indices.to_numpy()[rows]
-                rows = rows[order := np.argsort(code, kind="stable")]
-                code = code[order]
-                cuts = [0, *np.flatnonzero(np.diff(code)) + 1, len(rows)]
-            else:
-                files, code, cuts = [""], np.zeros(len(rows), int), [0, len(rows)]
-            texts = lines.take(pa.array(rows)).to_pylist()
-            good, parts, bad, why = [], [], [], []
-            for a, b in zip(cuts, cuts[1:]):
-                faults, total = seen.get(files[code[a]], (0, 0))
-                size = int(min(LARGEST, max(SMALLEST, (total + 64) / (faults + 0.5))))
-                block = texts[a:b]
-                odd = [i for i, x in enumerate(block) if "\n" in x]  # would take two places in a block
-                if odd:
-                    block = ["" if "\n" in x else x for x in block]
-                g, p, f = _sort_out(block, size)
-                seen[files[code[a]]] = (faults + len(f) - len(odd), total + len(block))
-                good += [a + i for i in g]
-                parts += p
-                for i in f:
-                    m = re.fullmatch(LINE, texts[a + i]) if i in odd else None
-                    if m and _DAYS[m["t"]]:
-                        good.append(a + i)
-                        parts.append(m.groups())
-                    else:
-                        bad.append(a + i)
-                        why.append(diagnose(texts[a + i]) or "not a quad")
-            if good:
-                s, p, iri, lit, t = (pa.array(x, pa.string()) for x in zip(*parts))
-                iri = pc.fill_null(iri, "")
-                o = pc.if_else(pc.not_equal(iri, ""), iri, unescape(pc.fill_null(lit, "")))
-                yield made(batch, rows[good], [s, p, o, t.cast(pa.date32()), pa.nulls(len(good), pa.string())])
-            if bad:
-                yield made(batch, rows[bad], [*(pa.nulls(len(bad), x) for x in (pa.string(), pa.string(), pa.string(), pa.date32())), pa.array(why, pa.string())])
+            texts = lines.take(pa.array(rows))
+            block = Columns(texts)
+            whole, alone = isolate(block, len(rows))
+            good = np.concatenate([np.arange(a, b) for a, b in whole]) if whole else np.zeros(0, np.int64)
+            if len(good):
+                yield made(batch, rows[good], [*block.of(good), pa.nulls(len(good), pa.string())])
+            if alone:
+                found = [strict(x) for x in texts.take(pa.array(alone)).to_pylist()]
+                cols = [pa.array(x, k) for x, k in zip(zip(*found), (pa.string(), pa.string(), pa.string(), pa.date32(), pa.string()))]
+                yield made(batch, rows[alone], cols)
 
     def made(batch: pa.RecordBatch, idx: np.ndarray, cols: list[pa.Array]) -> pa.RecordBatch:
         kept = batch.select(keep).take(pa.array(idx)).columns if keep else []
@@ -227,7 +279,17 @@ def _parser(line: str, file: str | None, keep: Sequence[str], schema: pa.Schema)
     return run
 
 
-def parse_quads(df: DataFrame, *, line: str = "line", file: str | None = "file_name", keep: Sequence[str] = ("line_id",)) -> DataFrame:
+def strict(line: str) -> tuple[str | None, str | None, str | None, dt.date | None, str | None]:
+    """(s, p, o, t, None) of a good line, or nothing and the reason."""
+    why = diagnose(line)
+    if why is None:
+        m = re.fullmatch(LINE, line)
+        if m:
+            return m["s"], m["p"], m["iri"] or unescaped(m["lit"]), dt.date.fromisoformat(m["t"]), None
+    return None, None, None, None, why or "not a quad"
+
+
+def parse_quads(df: DataFrame, *, line: str = "line", keep: Sequence[str] = ("line_id",)) -> DataFrame:
     """The quads of good lines and the reasons of faulty ones, one row per line that says anything.
 
     Result: the ``keep`` columns, then ``s, p, o STRING, t DATE, reason STRING``; ``reason`` is null
@@ -243,8 +305,8 @@ def parse_quads(df: DataFrame, *, line: str = "line", file: str | None = "file_n
     made = T.StructType().add("s", "string").add("p", "string").add("o", "string").add("t", "date").add("reason", "string")
     kept = [T.StructField(f"in_{c}" if c in made.names else c, df.schema[c].dataType) for c in keep]
     out = T.StructType([*kept, *made.fields])
-    need = list(dict.fromkeys([*keep, line, *([file] if file else [])]))
-    return df.select(*need).mapInArrow(_parser(line, file, list(keep), to_arrow_schema(out)), out)
+    need = list(dict.fromkeys([*keep, line]))
+    return df.select(*need).mapInArrow(_parser(line, list(keep), to_arrow_schema(out)), out)
 
 
 def faulty(df: DataFrame, **how) -> DataFrame:
@@ -254,5 +316,5 @@ def faulty(df: DataFrame, **how) -> DataFrame:
 
 def fault_counts(df: DataFrame, *, file: str = "file_name", **how) -> DataFrame:
     """Lines, faulty lines and the most common reasons by file: ``file_name, reason, n``; the reason of good lines is empty."""
-    p = parse_quads(df, file=file, keep=(file,), **how)
+    p = parse_quads(df, keep=(file,), **how)
     return p.groupBy(file, F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))

@@ -18,7 +18,7 @@ _STEPS = (
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_name"))
+    return spark.read.text(path, lineSep="\n").select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_name"))
 
 
 def read_quads(spark: SparkSession, path: str) -> DataFrame:

@@ -17,7 +17,7 @@ def read_log(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """A stream of quads out of build files that arrive in a folder; faulty lines carry their reason."""
-    lines = spark.readStream.text(path).select(F.col("value").alias("line"), F.lit("stream").alias("file_name"))
+    lines = spark.readStream.text(path).select(F.col("value").alias("line"))
     return parse_quads(lines, keep=())
 
 

@@ -4,6 +4,8 @@ import datetime as dt
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quadrille.sources import quad_lines as L
@@ -43,6 +45,13 @@ BAD = {
 }
 
 
+def a_day(text):
+    try:
+        return bool(dt.date.fromisoformat(text))
+    except ValueError:
+        return False
+
+
 def frame(spark, lines):
     return spark.createDataFrame([(i, "f", x, "s") for i, x in enumerate(lines)], "line_id long, file_name string, line string, s string")
 
@@ -85,13 +94,34 @@ def test_strict_scanner_agrees_with_the_block_parser():
     for _ in range(20000):
         x = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
         m = re.fullmatch(L.LINE, x)
-        assert (L.diagnose(x) is None) == bool(m and L._DAYS[m["t"]]), x
+        assert (L.diagnose(x) is None) == bool(m and a_day(m["t"])), x
     base = "<a> <b> <c> <2022-01-10> ."
     for i in range(len(base)):
         for c in ' <>".\tx':
             x = base[:i] + c + base[i + 1 :]
             m = re.fullmatch(L.LINE, x)
-            assert (L.diagnose(x) is None) == bool(m and L._DAYS[m["t"]]), x
+            assert (L.diagnose(x) is None) == bool(m and a_day(m["t"])), x
+
+
+def test_columns_agree_with_the_expression():
+    """The columnar path takes exactly the good lines and takes them apart alike, whatever lines stand around them."""
+    rng = random.Random(10)
+    parts = ["<a>", "<b c>", "<é>", "<>", '"x"', '"x\\"', '"x\\\\"', '"<\\"é>"', " ", "  ", "\t", ".", "<2022-01-10>", "<2023-02-29>", "<2024-02-29>", "<0000-01-01>", "@en", "@en-GB-1", "@1", "^^<t>", "^^t", "#", "\r", "\n", "<", ">", '"', "\\"]
+    shape = lambda: rng.choice(["{0} {1} {2} {3} .", " {0}\t{1} {2}{4} {3}.\r", "{0} {1} {2}  {3} . ", "{0}{1} {2} {3} .", "{0} {1} {2} {3} ..", "{0} {1} {2} {3} .\n"]).format(*(rng.choice(["<a>", "<é>", "<a.b>", "<b c>"]) for _ in range(2)), rng.choice(parts[:8]), rng.choice(parts[12:16]), rng.choice(parts[16:21]))
+    lines = [shape() if rng.random() < 0.7 else "".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(30000)]
+    lines += [*BAD, *(x for x, _ in GOOD), ""]
+    block = L.Columns(pa.array(lines, pa.string()))
+    rows = np.flatnonzero(block.good)
+    s, p, o, t = (x.to_pylist() for x in block.of(rows))
+    got = dict(zip(rows.tolist(), zip(s, p, o, t)))
+    assert len(got) > 1000
+    for i, x in enumerate(lines):
+        m = re.fullmatch(L.LINE, x) if not x.endswith("\n") else None
+        want = (m["s"], m["p"], m["iri"] or L.unescaped(m["lit"]), dt.date.fromisoformat(m["t"])) if m and a_day(m["t"]) else None
+        assert got.get(i) == want, x
+    whole, alone = L.isolate(block, len(lines), 64)
+    assert alone == [i for i in range(len(lines)) if i not in got] and sum(b - a for a, b in whole) == len(got)
+    assert L.Columns(pa.array([], pa.string())).good.tolist() == []
 
 
 def test_counts_by_file(spark):
