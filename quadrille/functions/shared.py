@@ -24,9 +24,10 @@ def shared_dir(spark: SparkSession, name: str, keep: bool = False) -> str:
     Without the setting a local session (tests) gets a temporary folder; on a cluster, where every
     machine would have its own, that is refused.
     """
-    base = spark.conf.get(CHECKPOINT_CONF, None)
+    sc = spark.sparkContext
+    base = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF) or sc.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise NoSharedFolder(f"set {CHECKPOINT_CONF} to a folder that all machines of the cluster share")
         local = tempfile.mkdtemp(prefix="quadrille-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)

@@ -27,3 +27,18 @@ def test_no_local_checkpoint_and_no_rdd():
 
 def test_products_only_where_the_language_means_them():
     assert [p.name for p, t in modules() if any(isinstance(n, ast.Attribute) and n.attr == "crossJoin" for n in ast.walk(t))] == ["execute.py"]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from quadrille.functions.shared import NoSharedFolder, shared_dir
+
+    unset = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: unset, getCheckpointDir=lambda: None)
+    with pytest.raises(NoSharedFolder):
+        shared_dir(SimpleNamespace(conf=unset, sparkContext=context), "x")
+    there = SimpleNamespace(get=lambda *a: "hdfs://shared/")
+    assert shared_dir(SimpleNamespace(conf=there, sparkContext=context), "x", keep=True).startswith("hdfs://shared/x-")
