@@ -113,3 +113,42 @@ def test_repair():
         if x != "Наверх" and x != "返回顶部":
             assert T.repaired(x.encode().decode("cp1252")) == x
     assert T.repaired("café été") == "café été"
+
+
+def test_endings_are_learnt_from_all_rows(spark):
+    """Words that stand before an ellipsis in two of the few pages among many empty ones are known, whichever pages have them."""
+    syllables = ["ka", "no", "ri", "tu", "me"]
+    names = [a + b + c for a in syllables for b in syllables for c in ("l", "s")][:40]
+    rows = [(i, "a", f"It was {n} after {n}... and so it went on.\nThe end of it.") for i, n in enumerate(names * 2)]
+    rows += [(1000 + i, "a", f"Nothing else is known of it.\nIt was {n} after {n}...") for i, n in enumerate(names)]
+    d = spark.createDataFrame(rows + [(10_000 + i, "b", "") for i in range(40_000)], "doc_id long, source string, text string").repartition(8)
+    assert T.judged(d).where("cut").collect() == []
+
+
+def test_long_texts_teach_endings(spark):
+    """All lines but those of the endings are in one text of more than 20,000 characters."""
+    rng = random.Random(5)
+    lines = [x for _ in range(300) for x in (" ".join(sentence(rng) for _ in range(2)), rng.choice(["Prices and news", "Contact us", "Sign in", "About Kano"]))]
+    text = "\n".join([*lines, "The end of it."])
+    assert len(text) > 20_000
+    rows = [(1, "a", text), (2, "a", "The tower of Kano opens the harbour behind the"), (3, "a", "Contact us"), (4, "a", "About Kano")]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {r.doc_id for r in T.judged(d).where("by = 'ending'").collect()} == {2}
+
+
+def test_judgements_are_those_of_a_model_of_all_texts(spark, corpus):
+    rows, _ = corpus
+    m = T.Model([t for *_, t, _ in rows])
+    last = {i: t.rstrip(T.BLANKS).split("\n")[-1] for i, _, t, _ in rows}
+    d = spark.createDataFrame([(i, s, t) for i, s, t, _ in rows], "doc_id long, source string, text string")
+    for parts in (1, 7):
+        for r in T.judged(d.orderBy(d.doc_id * parts % 11).repartition(parts)).collect():
+            want = m.stops(last[r.doc_id]) is not None if r.at_spike else m.is_cut(last[r.doc_id])
+            assert r.cut == want, last[r.doc_id][-60:]
+
+
+def test_marks_belong_to_words_by_their_share_of_texts():
+    """Twice in a large corpus is no habit; in a small one it is."""
+    pages = ["It rained year after year... and then stopped.\nThe end."] * 2
+    assert T.Model(pages).natural == {"after year"}
+    assert T.Model(pages + ["One.\nTwo."] * 4000).natural == set()
