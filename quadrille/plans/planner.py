@@ -1,15 +1,19 @@
-"""The order in which patterns are joined: most selective first, then always one that is connected."""
+"""The order in which patterns are joined: the one whose intermediate results are expected to be smallest together, always connected ones first."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.plans.sparql import Const, Pattern, Var
 
+#: Up to so many patterns every order is weighed; with more, the next one is always the one that leaves fewest solutions.
+MOST_WEIGHED = 10
 #: Share of rows that is left per bound position when nothing is known: a subject has few facts, an object may be shared by many.
 GUESS = {"s": 1e-5, "p": 1e-1, "o": 1e-3}
 
@@ -21,20 +25,26 @@ class Statistics:
     total: float = 1e6
     counts: dict[tuple[str | None, str | None, str | None], int] = field(default_factory=dict)
 
-    def estimate(self, p: Pattern, bound: set[str] = frozenset()) -> float:
-        """Rows of a pattern; with variables bound, rows for each solution there is so far."""
-        terms = (p.s, p.p, p.o)
-        key = tuple(x.text if isinstance(x, Const) else None for x in terms)
+    different: dict[tuple[tuple[str | None, ...], str], int] = field(default_factory=dict)
+
+    def estimate(self, p: Pattern) -> float:
+        """Rows of a pattern."""
+        key = constants(p)
         n = self.counts.get(key)
         if n is None:
             n = self.total
             for name, k in zip("spo", key):
                 n *= GUESS[name] if k is not None else 1
-        for name, x in zip("spo", terms):
-            if isinstance(x, Var) and x.name in bound:
-                n *= GUESS[name]
         return n
 
+    def values(self, p: Pattern, place: str, is_object: bool) -> float:
+        """Different terms at a place of a pattern. Where they aren't counted, one that is an object elsewhere is taken for one of few."""
+        key = constants(p)
+        known = self.different.get((key, place))
+        if known is None:
+            known = self.estimate(p) if sum(k is None for k in key) == 1 else 1 / GUESS["o" if place == "s" and is_object else place]
+        return max(1.0, known)
+
 
 def constants(p: Pattern) -> tuple[str | None, ...]:
     return tuple(x.text if isinstance(x, Const) else None for x in (p.s, p.p, p.o))
@@ -80,18 +90,39 @@ def counted(patterns: list[Pattern], facts: DataFrame) -> Statistics:
     return st
 
 
+def _sizes(patterns: list[Pattern], st: Statistics) -> Callable[[frozenset[int]], float]:
+    """The expected solutions of some of the patterns together: every place of a variable but the one with fewest different terms divides the product."""
+    objects = {p.o.name for p in patterns if isinstance(p.o, Var) and len(set(p.vars)) > 1}
+    rows = [st.estimate(p) for p in patterns]
+    places = [[(x.name, st.values(p, c, x.name in objects)) for c, x in zip("spo", (p.s, p.p, p.o)) if isinstance(x, Var)] for p in patterns]
+
+    def size(chosen: frozenset[int]) -> float:
+        by: dict[str, list[float]] = {}
+        for i in sorted(chosen):
+            for v, d in places[i]:
+                by.setdefault(v, []).append(d)
+        return prod(rows[i] for i in sorted(chosen)) / prod(prod(sorted(ds)[1:]) for ds in by.values())
+
+    return size
+
+
 def order(patterns: list[Pattern], st: Statistics | None = None) -> list[Pattern]:
-    """Patterns without variables first, then greedily: the smallest, then the one that multiplies the solutions least; a cycle is closed as soon as it can be."""
+    """Patterns without variables first, then the order with the fewest solutions summed over all its steps, of connected patterns where there are any."""
     st = st or Statistics()
     rest = list(dict.fromkeys(patterns))
-    out = [p for p in rest if not p.vars]
-    rest = [p for p in rest if p.vars]
-    bound: set[str] = set()
-    while rest:
-        near = [p for p in rest if bound & set(p.vars)] or rest
-        closing = [p for p in near if set(p.vars) <= bound]
-        best = min(closing or near, key=lambda p: st.estimate(p, bound))
-        out.append(best)
-        rest.remove(best)
-        bound |= set(best.vars)
-    return out
+    out, rest = [p for p in rest if not p.vars], [p for p in rest if p.vars]
+    size, names = _sizes(rest, st), [set(p.vars) for p in rest]
+    best: dict[frozenset[int], tuple] = {frozenset(): (0.0, ())}
+    for _ in rest:  # the cheapest way to each set of patterns, one pattern larger each time
+        larger: dict[frozenset[int], tuple] = {}
+        for chosen, (cost, way) in best.items():
+            bound = set().union(*(names[i] for i in chosen))
+            left = [i for i in range(len(rest)) if i not in chosen]
+            for i in [i for i in left if names[i] & bound] or left:
+                now = chosen | {i}
+                closes = len(names[i]) if names[i] <= bound else 0  # of equal ways, the one that closes a cycle earlier, then begins with smaller patterns
+                one = (float(f"{cost + size(now):.9g}"), (*way, (-closes, st.estimate(rest[i]), i)))
+                if now not in larger or one < larger[now]:
+                    larger[now] = one
+        best = larger if len(rest) <= MOST_WEIGHED else dict([min(larger.items(), key=lambda x: x[1])])
+    return out + [rest[i] for *_, i in next(iter(best.values()))[1]]

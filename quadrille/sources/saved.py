@@ -17,6 +17,9 @@ as a whole or not at all, and a writer that dies leaves nothing but folders nobo
 Parts are in folders by predicate, sorted so that a subject is found by row-group statistics.  A heavy
 predicate is cut across files by range of subjects; a rare one has one file.  A store made with more
 than ``FOLDERS`` predicates has no such folders, and predicates too are found by statistics.
+
+A store is made part by part: each part is one shuffle, whose files go before the next part begins,
+and the periods of an insert-only log are made from the part of the log that is already written.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.functions.shared import file_system, partitions, present, written
+from quadrille.functions.shared import file_system, partitions, present, shuffles_freed, written
 from quadrille.operators import history as H
 
 FACT = ("s", "p", "o")
@@ -176,8 +179,13 @@ class Saved:
 
 
 def _write(df: DataFrame, path: str, order: tuple[str, ...], folders: bool) -> None:
-    d = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
-    (d.write.partitionBy("p") if folders else d.write).parquet(path)
+    _write_ranges(df.repartitionByRange(partitions(df.sparkSession), *order), path, order, folders)
+
+
+def _write_ranges(df: DataFrame, path: str, order: tuple[str, ...], folders: bool) -> None:
+    d = df.sortWithinPartitions(*order)
+    with shuffles_freed(df.sparkSession):
+        (d.write.partitionBy("p") if folders else d.write).parquet(path, compression="zstd")
 
 
 def _write_counts(facts: DataFrame, path: str) -> None:
@@ -185,28 +193,41 @@ def _write_counts(facts: DataFrame, path: str) -> None:
     spark = facts.sparkSession
     for name in ("sp", "op"):
         by = COUNTS[name]
-        facts.groupBy(*by).agg(F.sum("n").alias("n")).repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(f"{path}/{name}")
+        with shuffles_freed(spark):
+            facts.groupBy(*by).agg(F.sum("n").alias("n")).repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(f"{path}/{name}")
     sp = spark.read.schema("s string, p string, n long").parquet(f"{path}/sp")
-    sp.groupBy("p").agg(F.sum("n").alias("n")).coalesce(1).write.parquet(f"{path}/p")
+    with shuffles_freed(spark):
+        sp.groupBy("p").agg(F.sum("n").alias("n")).coalesce(1).write.parquet(f"{path}/p")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     return bool(_manifests(spark, path))
 
 
-def create(spark: SparkSession, path: str, log: DataFrame, periods: DataFrame, mode: str = "errorifexists") -> Saved:
-    """A new store, or with ``overwrite`` a new version of the one that is there, made of this log alone."""
+def _stated(log: DataFrame) -> DataFrame:
+    """The periods of a log without deletes. Rows are cut by ranges of facts at once, so facts meet and are in order after one shuffle."""
+    d = log.select(*FACT, "t").repartitionByRange(partitions(log.sparkSession), "p", "s", "o")
+    return d.groupBy(*FACT).agg(F.min("t").alias("t_from")).withColumn("t_to", F.lit(None).cast("date"))
+
+
+def create(spark: SparkSession, path: str, log: DataFrame, periods: DataFrame | None, mode: str = "errorifexists") -> Saved:
+    """A new store, or with ``overwrite`` a new version of the one that is there, made of this log alone. No periods: all rows of the log are facts that stay."""
     names = _manifests(spark, path)
     if names and mode != "overwrite":
         raise FileExistsError(path)
     version = Saved(spark, path).version + 1 if names else 0
     tag = uuid.uuid4().hex[:12]
-    folders = log.agg(F.approx_count_distinct("p")).first()[0] <= FOLDERS
+    with shuffles_freed(spark):
+        folders = log.agg(F.approx_count_distinct("p")).first()[0] <= FOLDERS
     log = log.select("op", "s", "p", "o", F.col("t").cast("date").alias("t"), F.col("seq").cast("long").alias("seq"))
     _write(log, f"{path}/log/v={tag}", ("p", "t", "seq"), folders)
-    _write(periods, f"{path}/base/v={tag}", ("p", "s", "o"), folders)
+    if periods is None:
+        _write_ranges(_stated(spark.read.schema(LOG).parquet(f"{path}/log/v={tag}")), f"{path}/base/v={tag}", ("p", "s", "o"), folders)
+    else:
+        _write(periods, f"{path}/base/v={tag}", ("p", "s", "o"), folders)
     facts = spark.read.schema(PERIODS).parquet(f"{path}/base/v={tag}").where("t_to IS NULL")
     _write_counts(facts.select(*FACT, F.lit(1).cast("long").alias("n")), f"{path}/counts/{tag}")
-    last = spark.read.schema(LOG).parquet(f"{path}/log/v={tag}").agg(F.max("seq")).first()[0] or 0
+    with shuffles_freed(spark):
+        last = spark.read.schema(LOG).parquet(f"{path}/log/v={tag}").agg(F.max("seq")).first()[0] or 0
     _commit(spark, path, version, {"log": [f"log/v={tag}"], "base": [[f"base/v={tag}", []]], "replaced": [], "counts": [f"counts/{tag}"], "folders": folders, "streams": {}, "seq": last})
     return Saved(spark, path, version)

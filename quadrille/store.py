@@ -178,7 +178,7 @@ class Store:
         log = self.log
         if log is None:
             log = self.quads.select(F.lit("INSERT").alias("op"), "s", "p", "o", "t", F.lit(0).cast("long").alias("seq"))
-        saved.create(self.spark, path, log, self.validity(), mode)
+        saved.create(self.spark, path, log, self.periods, mode)
 
     def statistics(self, *by: str) -> DataFrame:
         """Facts that hold now, counted by some of s, p, o."""
