@@ -66,15 +66,23 @@ def look_up(patterns: list[Pattern], by_p: DataFrame, by_sp: DataFrame, by_op: D
         (by_sp, "sp", {k for k in keys if None not in k[:2] and k[2] is None}),
         (by_op, "po", {k for k in keys if None not in k[1:] and k[0] is None}),
     ]
+    none = [F.lit(None).cast("string").alias(c) for c in "spo"]
     parts = []
+    for c, df in (("s", by_sp), ("o", by_op)):  # a row for each subject, or object, of a predicate
+        if ps := sorted(k[1] for k in asked[0][2]):
+            parts.append(df.where(F.col("p").isin(ps)).groupBy("p").agg(F.count("*").alias("n")).select(none[0], "p", none[2], "n", F.lit(c).alias("place")))
     for df, cols, ks in asked:
         if ks:
             st.counts |= dict.fromkeys(ks, 0)
             cond = reduce(Column.__or__, [_matches(k, cols) for k in sorted(ks, key=str)])
-            parts.append(df.where(cond).select(*[F.col(c).alias(c) if c in cols else F.lit(None).cast("string").alias(c) for c in "spo"], "n"))
-    none = [F.lit(None).cast("string").alias(c) for c in "spo"]
-    parts.append(by_p.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(*none, "n"))
-    st.counts |= {(r["s"], r["p"], r["o"]): r["n"] for r in reduce(DataFrame.unionAll, parts).collect()}  # a row for each key asked for
+            parts.append(df.where(cond).select(*[F.col(c).alias(c) if c in cols else F.lit(None).cast("string").alias(c) for c in "spo"], "n", F.lit(None).cast("string").alias("place")))
+    parts.append(by_p.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(*none, "n", F.lit(None).cast("string").alias("place")))
+    for r in reduce(DataFrame.unionAll, parts).collect():  # at most three rows for each key asked for
+        key = (r["s"], r["p"], r["o"])
+        if r["place"]:
+            st.different[key, r["place"]] = r["n"]
+        else:
+            st.counts[key] = r["n"]
     st.total = max(st.counts[None, None, None], 1)
     return st
 
